@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import bpe, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.op1_pii_spans,
+    "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op5_pack_sequences": packing.op5_pack_sequences,
+    "op6_quality_scores": quality.op6_quality_scores,
 }
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
