@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality
+from . import audio, bpe, fingerprint, packing, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.op1_pii_spans,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op6_quality_scores": quality.op6_quality_scores,
+    "op7_fingerprints": fingerprint.op7_fingerprints,
+    "op9_media_audio": audio.op9_media_audio,
+    "op10_warc_records": warc.op10_warc_records,
 }
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
