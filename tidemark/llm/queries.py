@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, fingerprint, packing, pii, quality, warc
+from . import audio, bpe, fingerprint, packing, pii, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.op1_pii_spans,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op6_quality_scores": quality.op6_quality_scores,
     "op7_fingerprints": fingerprint.op7_fingerprints,
