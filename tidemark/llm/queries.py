@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, fingerprint, packing, pii, quality, suffixes, warc
+from . import audio, bpe, fingerprint, neardup, packing, pii, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.op1_pii_spans,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op6_quality_scores": quality.op6_quality_scores,
     "op7_fingerprints": fingerprint.op7_fingerprints,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media_audio": audio.op9_media_audio,
     "op10_warc_records": warc.op10_warc_records,
 }
