@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, fingerprint, neardup, packing, pii, quality, suffixes, warc
+from . import audio, bpe, fingerprint, licenses, neardup, packing, pii, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": pii.op1_pii_spans,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_pack_sequences": packing.op5_pack_sequences,
