@@ -86,37 +86,56 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 
 def _direct(data: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray:
     """The given suffixes in order of their first `depth` bytes."""
-    wide = np.zeros(len(data) + depth + 16, np.uint8)
+    wide = np.zeros(len(data) + 2 * depth + 16, np.uint8)
     wide[: len(data)] = data
     words = np.zeros(len(data) + depth + 8, np.uint64)
     for k in range(8):
         words |= wide[k : k + len(words)].astype(np.uint64) << np.uint64(56 - 8 * k)
     whole = rolling(wide[: len(data) + depth], depth)
+    strides = [(w, rolling(wide[: len(words) + w], w)) for w in (64, 16) if w < depth]
     order = small[np.argsort(words[small], kind="stable")]
-    group = np.zeros(len(order), np.int64)
-    group[1:] = np.cumsum(words[order[1:]] != words[order[:-1]])
+    first = words[order]
     where = np.arange(len(order))
-    at = 8
-    while at < depth and len(where):
+    new = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    at = np.full(len(order), 8)
+    while len(where):
         # Only groups whose members differ somewhere in the first `depth` bytes need more sorting.
-        own, g = order[where], group[where]
-        new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(new, len(g)))
-        differs = np.maximum.reduceat(whole[own] != np.repeat(whole[own[new]], size), new)
-        mixed = np.repeat(differs, size)
-        where, own, g = where[mixed], own[mixed], g[mixed]
+        own = order[where]
+        size = np.diff(np.append(new, len(own)))
+        mixed = _differs(whole[own], new, size)
+        keep = np.repeat(mixed & (at[new] < depth), size)
+        where, own, at, size = where[keep], own[keep], at[keep], size[mixed & (at[new] < depth)]
         if not len(where):
             break
-        key = words[own + at]
-        by = np.lexsort((key, g))
-        order[where] = own = own[by]
-        key, g = key[by], g[by]
-        fresh = np.append(False, (g[1:] != g[:-1]) | (key[1:] != key[:-1]))
-        group[where] = np.cumsum(fresh)
-        at += 8
+        new = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # A group that agrees on a whole stride moves on by it; the others sort by their next word.
+        agreed = np.zeros(len(size), bool)
+        for w, h in strides:
+            same = ~agreed & ~_differs(h[own + np.minimum(at, depth)], new, size)
+            at = at + np.repeat(w * same, size)
+            agreed |= same
+        group = np.repeat(np.arange(len(size)), size)
+        todo = np.flatnonzero(np.repeat(~agreed, size))
+        fresh = np.zeros(len(own), bool)
+        fresh[new] = True
+        if len(todo):
+            mine, g = own[todo], group[todo]
+            key = words[mine + np.minimum(at[todo], depth)]
+            by = np.lexsort((key, g))
+            own[todo] = mine = mine[by]
+            order[where] = own
+            key = key[by]
+            fresh[todo[1:]] |= (key[1:] != key[:-1]) & (g[1:] == g[:-1])
+            at[todo] += 8
+        new = np.flatnonzero(fresh)
     return order
 
 
+def _differs(x: np.ndarray, new: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each group, given its first index and size, whether its values differ."""
+    return np.logical_or.reduceat(x != np.repeat(x[new], size), new)
+
+
 def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """All suffixes ordered by at least their first `depth` bytes, by two-stage sorting."""
     n = len(data)
@@ -277,15 +296,19 @@ def _searched(pieces: DataFrame, length: int, hot: int, chunk: int) -> DataFrame
                 count[k] += 1
         hits = repeated(list(distinct), length)
         out: list[tuple] = []
-        for k, c in enumerate(count):
+        # Covered ranges relative to each distinct piece, found once for all its occurrences.
+        local: list[list[tuple[int, int]]] = []
+        for k, (c, p) in enumerate(zip(count, distinct, strict=True)):
             if c > 1:
                 hits[k][:] = True
+            local.append([(0, len(p))] if c > 1 or hits[k].all() else _spans(hits[k], 0, length) if hits[k].any() else [])
         for n, rows in groups:
             seen: set[int] = set()
             windows: dict[bytes, None] = {}
             for _, _, k1, k2, first, piece in rows:
                 k = distinct[piece]
-                out += [(0, k1, k2, a, b, None) for a, b in _spans(hits[k], first, length)]
+                for a, b in local[k]:
+                    out.append((0, k1, k2, first + a, first + b, None))
                 if n > hot and k not in seen:
                     seen.add(k)
                     for i, covered in enumerate(hits[k].tolist()):
