@@ -81,9 +81,9 @@ _ql("A15_property_search", "SELECT label, balance FROM PROPERTY customer IN crm
 _ql("A16_series_search", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE user_id = 3 AND event_type IN ('click', 'view') LIMIT 100000", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND user_id = 3 AND event_type IN ('click', 'view')")
 
 
-@_fn("A14_topn_lists", f"WITH v AS (SELECT date_trunc('day', ts) AS d, event_type, user_id, amount FROM {EVENT_SQL} QUALIFY row_number() OVER (PARTITION BY d, event_type, user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT CAST(d AS DATE) AS day, event_type, user_id, amount AS value FROM v QUALIFY row_number() OVER (PARTITION BY d, event_type ORDER BY amount DESC, user_id) <= 20")
+@_fn("A14_topn_lists", f"WITH v AS (SELECT date_trunc('day', ts) AS d, event_type, user_id, amount FROM {EVENT_SQL} QUALIFY row_number() OVER (PARTITION BY d, event_type, user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, user_id, amount AS value FROM v QUALIFY row_number() OVER (PARTITION BY d, event_type ORDER BY amount DESC, user_id) <= 20")
 def _a14(spark: SparkSession, d: str) -> DataFrame:
-    return topn.lists(spark, catalog(d), "ev", "user_top").select(F.to_date("bucket").alias("day"), "event_type", "user_id", "value")
+    return topn.lists(spark, catalog(d), "ev", "user_top").select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
 
 
 @_fn("A20_property_merge", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS label, 'GOLD' AS segment FROM customer WHERE c_custkey <= 200")
@@ -265,15 +265,15 @@ _ql("P25_topn_criteria", f"SHOW TOP 6 FROM MEASURE buyers IN ev {SPAN} ORDER BY
 _ql("P25_topn_not_in", f"SHOW TOP 6 FROM MEASURE others IN ev {SPAN} ORDER BY ASC", "user_id; event_type; amount", f"""SELECT user_id, event_type, min(amount) AS amount FROM {_lists_sql(where="event_type NOT IN ('click', 'view')", desc='ASC')} WHERE {_RANGE} GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 6""")
 
 
-@_fn("I14_topn_per_bucket", f"SELECT CAST(d AS DATE) AS day, user_id, event_type, amount FROM {_lists_sql()} QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount DESC, user_id, event_type) <= 3")
+@_fn("I14_topn_per_bucket", f"SELECT strftime(d, '%Y-%m-%d') AS day, user_id, event_type, amount FROM {_lists_sql()} QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount DESC, user_id, event_type) <= 3")
 def _i14(spark: SparkSession, d: str) -> DataFrame:
     from .model import TopNQuery
 
     out = topn.run(spark, catalog(d), TopNQuery(("ev",), "user_top", n=3, desc=True), per_bucket=True)
-    return out.select(F.to_date("bucket").alias("day"), "user_id", "event_type", "amount")
+    return out.select(F.to_date("bucket").cast("string").alias("day"), "user_id", "event_type", "amount")
 
 
-@_fn("I8_topn_streaming", f"SELECT CAST(d AS DATE) AS day, event_type, user_id, amount AS value FROM {_lists_sql()}")
+@_fn("I8_topn_streaming", f"SELECT strftime(d, '%Y-%m-%d') AS day, event_type, user_id, amount AS value FROM {_lists_sql()}")
 def _i8(spark: SparkSession, d: str) -> DataFrame:
     """The streaming form over the events as a stream of files, run to its end."""
     import uuid
@@ -285,7 +285,7 @@ def _i8(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     points = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").selectExpr("user_id", "event_type", "nullif(event_type, 'error') AS kind", "value", "cast(value AS bigint) AS amount", "cast(ts AS timestamp) AS ts", "event_id AS version")
     job.start(points, availableNow=True).awaitTermination()
-    return job.lists().select(F.to_date("bucket").alias("day"), "event_type", "user_id", "value")
+    return job.lists().select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
 
 
 # --- language ---------------------------------------------------------------------------------
