@@ -1,7 +1,7 @@
 """Criteria as column expressions, with the null rules of the data model.
 
-A comparison with null is false, and its negation true: every positive test is wrapped to give
-true or false, and NE, NOT IN and NOT HAVING negate the wrapped test.
+A comparison with null is false, and its negation true: every positive test gives true or
+false, and NE, NOT IN and NOT HAVING negate it.
 """
 
 from __future__ import annotations
@@ -42,6 +42,11 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _known(name: Column, c: Column) -> Column:
+    """A test of one column that is false for null.  Unlike coalesce, this form reaches the scan."""
+    return name.isNotNull() & c
+
+
 def _literal(tag: Tag, value: object) -> object:
     """The value in the tag's type; None if it cannot be equal to any value of the tag."""
     kind = Type.STRING if tag.type in (Type.STRING, Type.STRING_ARRAY) else tag.type
@@ -69,7 +74,7 @@ def _equal(tag: Tag, value: object) -> Column:
             return F.lit(False)
         return _true(c == F.array(*[F.lit(v) for v in values]).cast(tag.type.spark))
     v = _literal(tag, value)
-    return F.lit(False) if v is None else _true(c == F.lit(v))
+    return F.lit(False) if v is None else _known(c, c == F.lit(v))
 
 
 def _contains(tag: Tag, value: object) -> Column:
@@ -78,7 +83,7 @@ def _contains(tag: Tag, value: object) -> Column:
         return F.lit(False)
     c = F.col(f"`{tag.name}`")
     if not tag.type.array:
-        return _true(c == F.lit(values[0])) if len(set(values)) == 1 else F.lit(False)
+        return _known(c, c == F.lit(values[0])) if len(set(values)) == 1 else F.lit(False)
     return _true(F.size(F.array_except(F.array(*[F.lit(v) for v in values]).cast(tag.type.spark), c)) == 0)
 
 
@@ -94,12 +99,12 @@ def _leaf(c: Cond, r: Resource, row_filter: bool) -> Column:
         if tag.type.array:
             raise RequestError(f"{c.op} does not apply to the array {tag.name}")
         v = _literal(tag, c.value)
-        return F.lit(False) if v is None else _true(RANGES[c.op](name, F.lit(v)))
+        return F.lit(False) if v is None else _known(name, RANGES[c.op](name, F.lit(v)))
     if c.op in ("IN", "NOT_IN"):
         if tag.type.array:
             raise RequestError(f"IN does not apply to the array {tag.name}")
         values = [v for v in _values(tag, c.value) if v is not None]
-        e = _true(name.isin(values)) if values else F.lit(False)
+        e = _known(name, name.isin(values)) if values else F.lit(False)
         return e if c.op == "IN" else ~e
     if c.op in ("HAVING", "NOT_HAVING"):
         e = _contains(tag, c.value)
