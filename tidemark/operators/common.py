@@ -99,6 +99,14 @@ def order_tag(r: Resource, by: str) -> str:
     return rule.tags[0]
 
 
+#: Spark's own limit counts with 32 bits.
+MOST = 2**31 - 1
+
+
 def page(df: DataFrame, q: Request, kind: Kind) -> DataFrame:
+    """Offset, then limit.  A limit beyond 31 bits cuts nothing, so the sort stays distributed."""
+    if q.offset > MOST:
+        raise RequestError(f"an offset is at most {MOST}")
     df = df.offset(q.offset) if q.offset else df
-    return df.limit(q.limit or DEFAULT_LIMIT[kind])
+    n = q.limit or DEFAULT_LIMIT[kind]
+    return df.limit(n) if n <= MOST else df

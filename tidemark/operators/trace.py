@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Kind, Resource, Type
 from ..errors import RequestError
 from ..model import TraceQuery
-from .common import DEFAULT_LIMIT, chosen, filtered, projected, source, within
+from .common import chosen, filtered, page, projected, source, within
 from .predicates import trace_ids
 
 
@@ -53,7 +53,7 @@ def selected(df: DataFrame, q: TraceQuery, r: Resource, ids: list[str] | None) -
         ranked = hits.select(r.trace_id).distinct().withColumn("_rank", F.lit(0))
         by = F.col("_rank").asc()
     ranked = ranked.orderBy(by, tid)
-    return (ranked.offset(q.offset) if q.offset else ranked).limit(q.limit or DEFAULT_LIMIT[Kind.TRACE])
+    return page(ranked, q, Kind.TRACE)
 
 
 def run(spark: SparkSession, catalog: Catalog, q: TraceQuery) -> DataFrame:
