@@ -1,7 +1,7 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A text is compared line by line (long lines in overlapping windows) with the header and licence
-templates.  Document frequencies of the templates' terms come from all documents; terms outside
+Runs of template words in a text (long ones also in overlapping windows) are compared with the header
+and licence templates.  Document frequencies of the templates' terms come from all documents; terms outside
 the templates count as the rarest.  A file whose words are mostly licence text, or that has a
 licence's name, is a licence file: files without a licence of their own inherit from the licence
 file in the nearest ancestor directory, found by joins on directory paths.
@@ -13,11 +13,13 @@ null path has no directory; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from .common import map_rows, table, texts
 
 THRESHOLD = 0.72
 WINDOW = 40
+#: A word with at least this share of some template may open or close a run.
+HEAVY = 0.03
+#: Words whose share is kept by a worker; emptied when full.
+KEPT = 400_000
 #: Share of a text's words in licence lines from which it is a licence file.
 MOSTLY = 0.6
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -65,7 +71,7 @@ class Scorer:
             for x in variants:
                 v = {t: c * self.idf[t] for t, c in Counter(terms(x)).items()}
                 self.rows.append((name, v, math.sqrt(sum(w * w for w in v.values()))))
-        self.least = min(min(v.values()) for _, v, _ in self.rows)
+        self.shares: dict[str, float] = {}
 
     def line(self, words: list[str]) -> tuple[float, str]:
         known = VOCABULARY.intersection(words)
@@ -82,25 +88,46 @@ class Scorer:
         fit = (x for x in self.rows if len(known & x[1].keys()) >= min(3, len(x[1])))
         return max(((sum(w * v[t] for t, w in own.items() if t in v) / norm / size, name) for name, v, size in fit), default=(0.0, ""))
 
+    def share(self, word: str) -> float:
+        """At most how much of a template's squared norm the word's terms can match."""
+        return sum(max((v[t] ** 2 / size**2 for _, v, size in self.rows if t in v), default=0.0) for t in VOCABULARY.intersection(terms(word)))
+
     def text(self, text: str) -> tuple[float, str, bool]:
-        """Similarity and name of the best licence, and whether the text is mostly licence."""
-        best, name, covered, total = 0.0, "", 0, 0
-        for line in text.split("\n"):
-            words = terms(line)
-            total += len(words)
-            if VOCABULARY.isdisjoint(words):
+        """Similarity and name of the best licence, and whether the text is mostly licence.
+
+        Only runs of template words are compared, cut at line ends and at two other words in a row.
+        A cosine is at most the square root of the run's share of the template's squared norm, so
+        runs whose words can't reach the threshold are passed over; that loses nothing.
+        """
+        lines = [line.split() for line in text.lower().split("\n")]
+        words = [w for line in lines for w in line]
+        if len(self.shares) > KEPT:
+            self.shares.clear()
+        for w in set(words):
+            if w not in self.shares:
+                self.shares[w] = self.share(w)
+        share = np.fromiter(map(self.shares.__getitem__, words), float, len(words))
+        at = np.flatnonzero(share)
+        if not len(at):
+            return 0.0, "", False
+        line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])[at]
+        new = np.flatnonzero(np.append(True, (np.diff(at) > 2) | (np.diff(line) > 0)))
+        best, name, covered = 0.0, "", 0
+        ends = np.append(new[1:], len(at))
+        for k in np.flatnonzero(np.add.reduceat(share[at], new) >= THRESHOLD**2):
+            own = at[new[k] : ends[k]]
+            # Common words at either end belong to the sentence around it.
+            heavy = own[share[own] >= HEAVY]
+            if not len(heavy):
                 continue
-            top = (0.0, "")
-            for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                top = max(top, self.line(words[i : i + WINDOW]))
-            if len(words) > WINDOW:
-                # A sentence of its own inside a long line.
-                for part in re.split(r"(?<=[.;:!?])\s", line):
-                    top = max(top, self.line(terms(part)))
+            run = words[heavy[0] : heavy[-1] + 1]
+            top = self.line(terms(" ".join(run)))
+            for i in range(0, len(run) - WINDOW // 2 if len(run) > WINDOW else 0, WINDOW // 2):
+                top = max(top, self.line(terms(" ".join(run[i : i + WINDOW]))))
             if top[0] >= THRESHOLD:
-                covered += len(words)
+                covered += len(run)
                 best, name = max((best, name), top)
-        return best, name, total > 0 and covered >= MOSTLY * total
+        return best, name, covered >= MOSTLY * len(words)
 
 
 def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
@@ -108,9 +135,19 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: Counter[str] = Counter()
+        kept: dict[str, frozenset[str]] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                got.update(VOCABULARY.intersection(terms(t)))
+                found: set[str] = set()
+                for w in set(t.lower().split()):
+                    known = kept.get(w)
+                    if known is None:
+                        if len(kept) > KEPT:
+                            kept.clear()
+                        known = kept[w] = VOCABULARY.intersection(terms(w))
+                    if known:
+                        found |= known
+                got.update(found)
             got[""] += b.num_rows
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(got), pa.string()), "n": pa.array(list(got.values()), pa.int64())})
 
@@ -119,13 +156,18 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     return df, df.pop("", 0)
 
 
+@functools.lru_cache(maxsize=2)
+def _scorer(df: tuple[tuple[str, int], ...], n: int) -> Scorer:
+    return Scorer(dict(df), n)
+
+
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id") -> DataFrame:
     """id, path, own_license, similarity, is_license_file, license, inherited_from."""
     df, n = frequencies(docs)
     keyed = docs.select(F.col(id_col).alias("id"), path.alias("path"), "text")
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        s = Scorer(df, n)
+        s = _scorer(tuple(sorted(df.items())), n)
         got = [s.text(t) for t in b["text"]]
         return {"id": b["id"], "path": b["path"], "own": [g[1] or None for g in got], "similarity": [round(g[0], 6) for g in got], "mostly": [g[2] for g in got]}
 

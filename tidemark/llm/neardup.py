@@ -7,8 +7,8 @@ with the probability Jaccard similarity.  BANDS bands of ROWS registers give can
 candidate is verified on the exact weighted shingles.
 
 A bucket's members meet only its two leaders, never each other, so a bucket of n texts gives 2n
-candidates.  Buckets whose members end in different classes are split again by a second band; there,
-members meet the leaders of these finer buckets.  Equal texts are joined first by their hash.
+candidates.  Classes that met in a bucket without a link there meet once more, each by two members;
+and in finer buckets, of two bands.  Equal texts are joined first by their hash.
 
 Two texts are linked if their probability Jaccard similarity, or the Jaccard similarity of their
 sets of shingles, is at least THRESHOLD.  A class is a connected component; its id is its least
@@ -172,6 +172,26 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+def _between(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates between the classes that met in a bucket but were not linked there.
+
+    A class stands in a bucket with its least and greatest member, so a large class costs no more
+    than a small one.  They meet those of the bucket's first class; and the least members meet
+    again in finer buckets, of two bands, where texts that only share a common passage part.
+    """
+    known = bands.join(labels, "id", "left").select("id", "keys", F.coalesce("label", "id").alias("label"))
+    met = known.select(F.explode("keys").alias("key"), "id", "label").groupBy("key", "label").agg(F.min("id").alias("r1"), F.max("id").alias("r2"))
+    first = met.groupBy("key").agg(F.min(F.struct("label", "r1", "r2")).alias("f"), F.max("label").alias("hi")).where("f.label < hi").select("key", "f")
+    mixed = met.join(first, "key")
+    star = mixed.where("label <> f.label").select(F.explode(F.expr("array(struct(r1 AS x, f.r1 AS y), struct(r1 AS x, f.r2 AS y), struct(r2 AS x, f.r1 AS y), struct(r2 AS x, f.r2 AS y))")).alias("p")).select("p.x", "p.y")
+    stood = mixed.groupBy(F.col("r1").alias("id"), "label").agg(F.sort_array(F.collect_list("key")).alias("in"))
+    two = F.expr("flatten(transform(`in`, (x, i) -> transform(slice(`in`, i + 2, size(`in`)), y -> xxhash64(x, y))))")
+    finer = stood.select("id", "label", F.explode(two).alias("key"))
+    lead = finer.groupBy("key").agg(F.min(F.struct("label", "id")).alias("f"), F.max("label").alias("hi")).where("f.label < hi").select("key", "f")
+    fine = finer.join(lead, "key").where("label <> f.label").select(F.col("id").alias("x"), F.col("f.id").alias("y"))
+    return star.unionByName(fine).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id of every row."""
     spark = docs.sparkSession
@@ -184,17 +204,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     contents = _contents(keyed)
     links = cut(_verified(_stars(bands.select("id", F.explode("keys").alias("key"))), contents, threshold))
     labels = components(links)
-    # Buckets that hold several classes: their members meet again in finer buckets.
-    known = bands.join(labels, "id", "left").select("id", "keys", F.coalesce("label", "id").alias("label"))
-    spread = known.select(F.explode("keys").alias("key"), "label").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    mixed = known.select("id", "label", F.posexplode("keys").alias("band", "key")).join(spread, "key").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("in"))
-    two = F.expr("flatten(transform(`in`, (x, i) -> transform(slice(`in`, i + 2, size(`in`)), y -> xxhash64(x.key, y.key))))")
-    finer = mixed.select("id", "label", F.explode(two).alias("key"))
-    crossing = finer.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    again = _stars(finer.join(crossing, "key").select("key", "id"))
-    mine = known.select("id", "label")
-    again = again.join(mine.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(mine.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b")
-    more = cut(_verified(again, contents, threshold))
+    more = cut(_verified(_between(bands, labels), contents, threshold))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     rep = named.join(reps, ["t1", "t2"]).select("id", "rep")
