@@ -84,6 +84,10 @@ def catalog(sf_dir: str) -> Catalog:
     c.add(Resource(Kind.TRACE, "chat", "conversations", (Tag("conv_id", I), Tag("turn", I), Tag("role")), rules=(IndexRule("turn", ("turn",)),), trace_id="conv_id", span_id="turn", unique=True), _read(sf_dir, "conversations", "conv_id", "turn", "role", "text AS span", "timestamp_ntz '2024-01-01 00:00:00' AS ts"))
     c.add(Resource(Kind.PROPERTY, "crm", "customer", (Tag("label"), Tag("segment"), Tag("balance", I), Tag("number", I))), _revisions(sf_dir))
 
+    c.add_group(Group("crm_new", Kind.PROPERTY))
+    newer = _revisions(sf_dir)
+    c.add(Resource(Kind.PROPERTY, "crm_new", "customer", (Tag("label"), Tag("segment"), Tag("balance", I), Tag("number", I))), lambda spark: newer(spark).where("number <= 50").withColumn("group", F.lit("crm_new")))
+    c.add_ranking(Ranking("ev_old", "user_top", "event_value", "ev_old", "amount", ("event_type",), "DESC", counters=20, interval="1 day"))
     for name, sort, by, criteria in (("user_top", "DESC", ("event_type",), None), ("user_both", None, (), None), ("buyers", "DESC", (), Cond("event_type", "EQ", "purchase")), ("others", "ASC", ("event_type",), Cond("event_type", "NOT_IN", ["click", "view"]))):
         c.add_ranking(Ranking("ev", name, "event_value", "ev", "amount", by, sort, counters=20, interval="1 day", criteria=criteria))
     return c

@@ -291,3 +291,186 @@ def _i8(spark: SparkSession, d: str) -> DataFrame:
 # --- language ---------------------------------------------------------------------------------
 _ql("L1_parameters", "SELECT user_id FROM STREAM events IN log TIME BETWEEN ? AND ? WHERE event_type IN (?) AND amount > ? LIMIT ?", "event_id; user_id", f"SELECT event_id, user_id FROM {ELEMENT_SQL} WHERE {SPAN_SQL} AND event_type IN ('click', 'view', 'signup') AND amount > 250 ORDER BY ts, event_id LIMIT 500", ("2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z", ["click", "view", "signup"], 250, 500))
 _ql("L2_keyword_case", f"select event_type, amount::field, sum(amount) from measure event_value in ev {SPAN} where event_type = 'view' group by event_type, amount", "event_type; amount", f"SELECT event_type, CAST(sum(amount) AS BIGINT) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} AND event_type = 'view' GROUP BY 1")
+
+
+# --- storage, time, functions and streams -----------------------------------------------------
+def _root(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from .sources.storage import shared_root
+
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_events(spark: SparkSession, d: str):
+    """The event measure written by day to a fresh store, and its resource."""
+    from .sources.storage import Store
+
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "ev", "event_value")
+    store = Store(_root(spark, "store"))
+    store.append(c.frame(spark, r), r, bloom=("event_type",))
+    return c, r, store
+
+
+@_fn("A12_key_scan", f"SELECT o_custkey, o_orderkey, duration FROM {ORDER_SQL} WHERE duration BETWEEN 150000 AND 160000")
+def _a12(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog(d)
+    return c.frame(spark, c.get(Kind.TRACE, "shop", "orders")).where("duration BETWEEN 150000 AND 160000").select("o_custkey", "o_orderkey", "duration")
+
+
+_ql("A17_segments", "SELECT duration FROM TRACE orders IN shop TIME BETWEEN '1996-01-01T10:00:00Z' AND '1996-01-31T10:00:00Z' ORDER BY duration DESC LIMIT 10", "o_custkey; o_orderkey; duration", f"WITH s AS (SELECT * FROM {ORDER_SQL} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'), t AS (SELECT o_custkey FROM s GROUP BY 1 ORDER BY max(duration) DESC, o_custkey LIMIT 10) SELECT o_custkey, o_orderkey, duration FROM s JOIN t USING (o_custkey)")
+_ql("F13_trace_order_timestamp", "SELECT state FROM TRACE orders IN shop TIME BETWEEN '1996-01-01T00:00:00Z' AND '1996-01-31T00:00:00Z' ORDER BY timestamp DESC LIMIT 10", "o_custkey; o_orderkey; state", "WITH s AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'), t AS (SELECT o_custkey FROM s WHERE o_orderdate <= TIMESTAMP '1996-01-31' GROUP BY 1 ORDER BY max(o_orderdate) DESC, o_custkey LIMIT 10) SELECT o_custkey, o_orderkey, o_orderstatus AS state FROM s JOIN t USING (o_custkey)")
+
+
+@_fn("A19_write_read", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND event_type = 'click'")
+def _a19(spark: SparkSession, d: str) -> DataFrame:
+    from .catalog import Catalog
+
+    _, r, store = _stored_events(spark, d)
+    own = Catalog()
+    own.add(r, store.loader(r))
+    return Engine(spark, own).query(f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE event_type = 'click' LIMIT 100000000").select("user_id", "event_type", "value")
+
+
+@_fn("A22_expire", "SELECT event_id AS version FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def _a22b(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import date
+
+    _, r, store = _stored_events(spark, d)
+    store.expire(spark, r, 11, date(2024, 1, 31))
+    return store.read(spark, r).select("version")
+
+
+@_fn("A23_compaction", "SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS version FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-03-03' QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1")
+def _a23(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.storage import Store
+
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "tpch", "supply")
+    store = Store(_root(spark, "store"))
+    store.append(c.frame(spark, r).where("ts >= '1997-03-01' AND ts < '1997-03-03'"), r)
+    for day in store.days(spark, r):
+        store.compact(spark, r, day)
+    return store.read(spark, r).select("l_suppkey", "version")
+
+
+@_fn("A26_dump", "SELECT CAST(event_id AS VARCHAR) AS version, event_type FROM events WHERE user_id = 9")
+def _a26(spark: SparkSession, d: str) -> DataFrame:
+    _, r, store = _stored_events(spark, d)
+    path = _root(spark, "dump")
+    store.dump(store.read(spark, r).where("user_id = 9"), path)
+    return spark.read.option("header", True).csv(path).select("version", "event_type")
+
+
+@_fn("A27_backup_restore", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+def _a27(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.storage import Store
+
+    _, r, store = _stored_events(spark, d)
+    copy, back = Store(_root(spark, "backup")), Store(_root(spark, "back"))
+    store.backup(spark, r, copy)
+    back.restore(spark, r, copy)
+    return back.read(spark, r).agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("total"))
+
+
+@_fn("A28_stage_migration", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-04' THEN 'cold' ELSE 'hot' END AS stage, count(*) AS n FROM events GROUP BY 1")
+def _a28(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import date
+
+    _, r, store = _stored_events(spark, d)
+    for day in store.days(spark, r):
+        if day < date(2024, 1, 4):
+            store.migrate(spark, r, day, "hot", "cold")
+    both = [store.read(spark, r, s).groupBy(F.lit(s).alias("stage")).agg(F.count(F.lit(1)).alias("n")) for s in ("hot", "cold")]
+    return both[0].unionByName(both[1])
+
+
+@_fn("A29_retype", "SELECT event_id AS version, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS amount FROM events WHERE user_id = 4")
+def _a29(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.storage import Store
+
+    _, r, store = _stored_events(spark, d)
+    new = Store(_root(spark, "retyped"))
+    store.resegment(spark, r, new, {"amount": "string"})
+    return new.read(spark, r).where("user_id = 4").select("version", "amount")
+
+
+@_fn("P27_clamp", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def _p27(spark: SparkSession, d: str) -> DataFrame:
+    from dataclasses import replace
+    from datetime import datetime, timezone
+
+    c = catalog(d)
+    r = replace(c.get(Kind.STREAM, "log", "events"), created=datetime(2024, 1, 15, tzinfo=timezone.utc))
+    c.resources[Kind.STREAM, "log", "events"] = r
+    return Engine(spark, c).query(f"SELECT user_id FROM STREAM events IN log {ALL} LIMIT 100000000").select("event_id")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s + "'"
+
+
+def _token_counts(key: str, analyzer: str, text: str, split: str | None) -> None:
+    from .functions.analyzers import tokens
+
+    QUERIES[key] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(tokens(F.col("text"), analyzer)).cast("long").alias("n"))
+    ORACLE_SQL[key] = f"SELECT doc_id, CAST({'1' if split is None else f'len(list_filter(string_split_regex({text}, {_quoted(split)}), lambda x: len(x) > 0))'} AS BIGINT) AS n FROM documents"
+
+
+_token_counts("S1_keyword", "keyword", "text", None)
+_token_counts("S2_simple", "simple", "lower(text)", "[^\\p{L}]+")
+_token_counts("S3_standard", "standard", "lower(text)", "[^\\p{L}\\p{N}_]+")
+_token_counts("S4_url", "url", "text", "[^\\p{L}\\p{N}]+")
+
+
+@_fn("S6_time_bucket", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS n FROM events GROUP BY 1")
+def _s6(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 hour")["start"].alias("b")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("b", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n")
+
+
+@_fn("S7_group_key", f"SELECT event_id, coalesce(kind, '') AS kind, CAST(user_id AS VARCHAR) AS who FROM {ELEMENT_SQL}")
+def _s7(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog(d)
+    r = c.get(Kind.STREAM, "log", "events")
+    return c.frame(spark, r).select("event_id", topn.text_of(r, "kind").alias("kind"), topn.text_of(r, "user_id").alias("who"))
+
+
+@_fn("S8_series", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def _s8(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "ev", "event_value")
+    return dedup.series(c.frame(spark, r), r.name, r.entity).agg(F.countDistinct("sid").alias("n"))
+
+
+_ql("G4_ranking_groups", f"SHOW TOP 8 FROM MEASURE user_top IN (ev, ev_old) {ALL} ORDER BY DESC", "user_id; event_type; amount", f"SELECT user_id, event_type, max(amount) AS amount FROM {_lists_sql()} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 8")
+_ql("G5_property_groups", "SELECT label FROM PROPERTY customer IN (crm, crm_new) WHERE id IN ('1', '2', '3') LIMIT 100", "group; id; label", f"SELECT g AS \"group\", id, label FROM {PROPERTY_SQL} CROSS JOIN (VALUES ('crm'), ('crm_new')) v(g) WHERE id IN ('1', '2', '3')")
+
+
+@_fn("U2_plugin", "SELECT o_custkey FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 1500000")
+def _u2(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return sampling.chain(orders, "o_custkey", [lambda spans: spans["o_totalprice"].sum() > 1_500_000], ["o_totalprice"]).where("keep").select("o_custkey")
+
+
+@_fn("I3_tumbling_stream", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1, 2")
+def _i3(spark: SparkSession, d: str) -> DataFrame:
+    """Event-time windows over the events as a stream of files, run to its end."""
+    from .streaming.topn import windowed
+
+    root = _root(spark, "windows")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    points = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").selectExpr("cast(ts AS timestamp) AS ts", "event_type", "cast(value AS bigint) AS amount")
+    out = windowed(points, "ts", "1 day", ["event_type"], "amount", "1 day").writeStream.outputMode("complete")
+    out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.to_date("bucket").cast("string").alias("day"), "event_type", "total", "n")
+
+
+@_fn("I13_snapshots", f"SELECT strftime(d, '%Y-%m-%d') AS day, event_type, user_id, amount AS value FROM {_lists_sql()}")
+def _i13(spark: SparkSession, d: str) -> DataFrame:
+    """An early snapshot of every list is replaced by the later one."""
+    full = topn.lists(spark, catalog(d), "ev", "user_top").drop("version")
+    early = full.where("rank <= 5").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(1).cast("long"))
+    both = early.unionByName(full.withColumn("version", F.lit(2).cast("long")))
+    return topn.newest(both, ["event_type", "user_id"]).select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
