@@ -67,6 +67,14 @@ def test_entity_filter_reaches_the_scan(spark, sf):
     assert "props" not in plan.split("ReadSchema")[1]
 
 
+def test_dedup_reads_only_what_is_asked(spark, sf):
+    from tidemark.bindings import catalog
+
+    df = Engine(spark, catalog(sf)).query("SELECT l_suppkey, quantity_i::field, SUM(quantity_i) FROM MEASURE supply IN tpch TIME > '1990-01-01T00:00:00Z' GROUP BY l_suppkey, quantity_i")
+    schema = df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "l_quantity" in schema and "l_returnflag" not in schema
+
+
 def test_missing_time_range_is_empty(spark, sf):
     from tidemark.bindings import catalog
 

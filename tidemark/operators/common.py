@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..catalog import Catalog, Kind, Resource, Type, aligned, merged
 from ..errors import RequestError
 from ..model import Request
-from .predicates import compile_criteria
+from .predicates import compile_criteria, conditions
 
 #: Rows (traces for a trace query) that a request without a limit gives.
 DEFAULT_LIMIT = {Kind.MEASURE: 100, Kind.STREAM: 20, Kind.TRACE: 20, Kind.PROPERTY: 100}
@@ -55,8 +55,6 @@ def source(spark: SparkSession, catalog: Catalog, kind: Kind, q: Request) -> tup
 
 
 def _ranges(q: Request):
-    from .predicates import conditions
-
     return [c for c in conditions(q.criteria) if c.op in ("LT", "LE", "GT", "GE")]
 
 
@@ -84,6 +82,15 @@ def chosen(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in dict.fromkeys(names)])
 
 
+def pruned(df: DataFrame, r: Resource, q: Request, *names: str | None) -> DataFrame:
+    """The columns that a request can touch.  A dedup carries whole rows, so what it need not carry
+    must go before it; below a plain projection Catalyst would see to that itself."""
+    keep = {n for n in names if n} | {t.name for c in conditions(q.criteria) if (t := r.tag(c.name))}
+    for asked, have in ((q.tags, r.tags), (getattr(q, "fields", ()), r.fields)):
+        keep |= {x.name for x in have} if asked is None else {t.name if (t := r.tag(n)) else n for n in asked}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep])
+
+
 def directed(c: Column, desc: bool) -> Column:
     """Null counts as the lowest value."""
     return c.desc_nulls_last() if desc else c.asc_nulls_first()

@@ -10,7 +10,7 @@ from ..errors import RequestError
 from ..functions.aggregates import aggregate, final, numeric, partial
 from ..model import MeasureQuery
 from . import dedup
-from .common import chosen, directed, filtered, order_tag, page, projected, source
+from .common import chosen, directed, filtered, order_tag, page, projected, pruned, source
 from .predicates import check_measure
 
 
@@ -24,6 +24,9 @@ def scan(spark: SparkSession, catalog: Catalog, q: MeasureQuery) -> tuple[DataFr
     if q.begin is None and q.end is None and not r.index_mode:
         return df.limit(0), r
     check_measure(q.criteria, r)
+    groups = [t.name for n in q.group_by or () if (t := r.tag(n))]
+    order = order_tag(r, q.order.by) if q.order and q.order.by else None
+    df = pruned(df, r, q, *r.entity, *r.sharding_key, r.timestamp, "version", *groups, q.group_field, q.aggregate and q.aggregate[1], q.top and q.top.field, order)
     if r.index_mode:
         df = dedup.latest(df, r.entity, r.timestamp)
     elif not r.unique:

@@ -9,7 +9,7 @@ from ..catalog import Catalog, Kind, Resource
 from ..errors import RequestError
 from ..model import PropertyQuery
 from . import dedup
-from .common import chosen, directed, filtered, page, projected, source
+from .common import chosen, directed, filtered, page, projected, pruned, source
 
 
 def run(spark: SparkSession, catalog: Catalog, q: PropertyQuery) -> DataFrame:
@@ -17,10 +17,11 @@ def run(spark: SparkSession, catalog: Catalog, q: PropertyQuery) -> DataFrame:
     df, r = source(spark, catalog, Kind.PROPERTY, q)
     if q.ids:
         df = df.where(F.col("id").isin(*q.ids))  # below the dedup: an id's revisions go together
+    tag = r.tag(q.order.by) if q.order and q.order.by else None
+    df = pruned(df, r, q, "group", "name", "id", "mod_revision", "delete_time", tag and tag.name)
     df = filtered(dedup.revisions(df), q, r)
     keys: list[Column] = [F.col("group"), F.col("id")]
     if q.order and q.order.by:
-        tag = r.tag(q.order.by)
         if tag is None:
             raise RequestError(f"{r.name} has no tag {q.order.by} to order by")
         keys.insert(0, directed(F.col(f"`{tag.name}`"), q.order.desc))

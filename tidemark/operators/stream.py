@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Kind
 from ..model import StreamQuery
 from . import dedup
-from .common import chosen, directed, filtered, order_tag, page, projected, source
+from .common import chosen, directed, filtered, order_tag, page, projected, pruned, source
 from .predicates import check_stream
 
 
 def run(spark: SparkSession, catalog: Catalog, q: StreamQuery) -> DataFrame:
     df, r = source(spark, catalog, Kind.STREAM, q)
     check_stream(q.criteria, r)
-    df = filtered(df, q, r)
     key = order_tag(r, q.order.by) if q.order and q.order.by else r.timestamp
     desc = bool(q.order and q.order.desc)
+    df = filtered(pruned(df, r, q, r.element_id, r.timestamp, key), q, r)
     if not r.unique:
         # The copy that comes first in the query's order stays: the least one, or the greatest.
         by = F.col(f"`{key}`")
