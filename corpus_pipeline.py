@@ -14,7 +14,7 @@ from tidemark.llm.common import fresh_path, prepare, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects; all labels may be learned from."""
+    """Drops the documents that the classifier rejects."""
     prepare(spark)
     source = table(spark, sf_dir, "documents")
     return quality.keep(docs, quality.fit(source, table(spark, sf_dir, "labels")))

@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, table, texts, tokenizer
+from .common import claim, map_rows, table, texts, tokenizer
 
 LEAF = 2048
 #: Segments kept per worker; the table is emptied when full, which bounds its memory.
@@ -125,6 +125,7 @@ class Encoder:
         """Equal to the library's encode(text, add_special_tokens=False).ids."""
         if not text or _ODD_SPACE.search(text):
             return self.whole(text) if text else []
+        claim(self.kept)
         parts = _SEGMENT.findall(text)
         self.learn(set(parts))
         out: list[int] = []

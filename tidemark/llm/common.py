@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -78,6 +79,28 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | It
     return df.mapInArrow(run, st)
 
 
+_holder: list = [None]
+
+
+def claim(table) -> None:
+    """Word tables of a Python worker take turns: the one in use clears the one before it.
+
+    Workers are reused by stage after stage; without this their tables would add up.
+    """
+    if _holder[0] is not table:
+        if _holder[0] is not None:
+            _holder[0].clear()
+            trim()
+        _holder[0] = table
+
+
+def trim() -> None:
+    """Free memory goes back to the system, where the C library can do that."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str):
     """One tokenizer per Python worker; a bare file name is looked up among the public ones."""

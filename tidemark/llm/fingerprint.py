@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import claim, table, texts
 
 BINS_LOG, BITS, WORDS = 8, 8, 5
 BINS = 1 << BINS_LOG
-KEPT = 400_000
+KEPT = 150_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -38,6 +38,7 @@ class WordHash:
         self.kept: dict[str, int] = {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
+        claim(self.kept)
         new = [w for w in set(words) if w not in self.kept]
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, texts
+from .common import claim, map_rows, table, texts
 
 THRESHOLD = 0.72
 WINDOW = 40
 #: A word with at least this share of some template may open or close a run.
 HEAVY = 0.03
 #: Words whose share is kept by a worker; emptied when full.
-KEPT = 400_000
+KEPT = 150_000
 #: Share of a text's words in licence lines from which it is a licence file.
 MOSTLY = 0.6
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -101,6 +101,7 @@ class Scorer:
         """
         lines = [line.split() for line in text.lower().split("\n")]
         words = [w for line in lines for w in line]
+        claim(self.shares)
         if len(self.shares) > KEPT:
             self.shares.clear()
         for w in set(words):

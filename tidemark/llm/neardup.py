@@ -33,6 +33,8 @@ from .common import cut, fresh_path, table
 from .fingerprint import mix, shingles
 
 BANDS, ROWS, THRESHOLD = 24, 6, 0.8
+#: Shingles worked on at once.
+GROUP = 200_000
 NULL_ID = -(2**63)
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -69,6 +71,20 @@ def signatures(items: list[tuple[np.ndarray, np.ndarray]], registers: int = BAND
     return who.reshape(-1, registers)
 
 
+def all_signatures(texts: list[str]) -> np.ndarray:
+    """Signatures of many texts, in groups of bounded size."""
+    out, group, held = [], [], 0
+    for t in texts:
+        group.append(weighted(t))
+        held += len(group[-1][0])
+        if held > GROUP:
+            out.append(signatures(group))
+            group, held = [], 0
+    if group:
+        out.append(signatures(group))
+    return np.concatenate(out)
+
+
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     rows = signature.shape[1] // bands
     out = np.zeros((len(signature), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
@@ -116,7 +132,7 @@ def _banded(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = band_keys(signatures([weighted(t) for t in b.column(1).to_pylist()]))
+                keys = band_keys(all_signatures(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
 
     return keyed.select("id", "text").mapInArrow(run, "id long, keys array<long>")

@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts, tokenizer
+from .common import claim, table, texts, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
 BUNDLE_WINDOWS = 64
 #: Remainders are cut into items of at most so many ids: small items balance better.
 ITEM = 512
-KEPT = 1_000_000
+KEPT = 600_000
 #: Words encoded as one text when they are learned, and what stands between them.
 CHAIN, MARK = 256, "|"
 #: ASCII and composed Latin-1 letters: stable under NFC, lower case by single characters.
@@ -49,6 +49,9 @@ class Words:
         self.kept: dict[str, bytes] = {"": b""}
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
+    def clear(self) -> None:
+        self.kept = {"": b""}
+
     def learn(self, new: list[str]) -> None:
         """Many words as one text, with a mark between them; words that hold the mark alone."""
         fast = {w: w.lower() for w in new if PLAIN.fullmatch(w)}
@@ -73,6 +76,7 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """Unsigned little-endian 32-bit ids of the whole text."""
+        claim(self)
         plain = "<|" not in text and PLAIN_TEXT.fullmatch(text)
         if plain:
             words = UNIT.findall(text.lower())
@@ -81,7 +85,7 @@ class Words:
         new = [w for w in set(words) if w not in self.kept]
         if new:
             if len(self.kept) + len(new) > KEPT:
-                self.kept = {"": b""}
+                self.clear()
                 new = list(set(words) - {""})
             self.encode(new, self.bare) if plain else self.learn(new)
         return b"".join(map(self.kept.__getitem__, words))

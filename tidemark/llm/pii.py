@@ -193,14 +193,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts stay null.
     """
     cols = docs.columns
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("_null"), *[F.col(f"`{c}`") for c in cols if c != text])
+    df = docs.select(rest.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     df = spans(found(df, "_row", keep_text=True))
     every = F.array_sort(F.flatten(F.array(*[F.expr(f"transform(k_{k.name}, x -> named_struct('s', x.s, 'e', x.e, 'k', {i}))") for i, k in enumerate(KINDS)])))
     df = df.select("_row", "text", every.alias("_a"))
-    #: Runs of overlapping spans: a span opens a run if it starts at or after the furthest end so far.
+    # Runs of overlapping spans: a span opens a run if it starts at or after the furthest end so far.
     df = df.select("_row", "text", F.expr("aggregate(_a, named_struct('p', 0, 'o', cast(array() as array<string>)), (t, x) -> CASE WHEN x.s >= t.p THEN named_struct('p', x.e, 'o', concat(t.o, array(substring(text, t.p + 1, x.s - t.p), element_at(array(" + ", ".join(f"'<{k.name.upper()}>'" for k in KINDS) + "), x.k + 1)))) ELSE named_struct('p', greatest(t.p, x.e), 'o', t.o) END)").alias("_t"))
     new = F.when(F.size("_t.o") == 0, F.col("text")).otherwise(F.concat(F.array_join("_t.o", ""), F.expr("substring(text, _t.p + 1)")))
-    df = df.select("_row", F.when(F.col(f"_row.`{text}`").isNotNull(), new).alias("_new"))
+    df = df.select("_row", F.when(~F.col("_row._null"), new).alias("_new"))
     return df.select(*[(F.col("_new") if c == text else F.length("_new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in cols])
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, texts
+from .common import claim, map_rows, table, texts
 
 BITS = 18
 SAMPLE = 12_000
@@ -38,12 +38,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Hasher:
     """Hash of words, kept for those seen lately."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.kept: dict[str, int] = {}
         self.most = most
 
     def __call__(self, words: list[str]) -> np.ndarray:
         kept = self.kept
+        claim(kept)
         if len(kept) > self.most:
             kept.clear()
         for w in set(words):

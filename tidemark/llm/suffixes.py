@@ -28,16 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, table, trim
 
 LENGTH, GRAM = 200, 32
 #: Occurrences of an anchor that may meet in one task, and bytes sorted at once.
-HOT, CHUNK = 4096, 3 << 20
+HOT, CHUNK = 4096, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     out = []
@@ -334,6 +334,7 @@ def _searched(pieces: DataFrame, length: int, hot: int, chunk: int) -> DataFrame
                         if size > chunk:
                             yield solve(groups)
                             groups, size = [], 0
+                            trim()
                     last = (anchor, salt)
                 rows.append((anchor, n, k1, k2, first, piece))
                 size += len(piece)
@@ -341,6 +342,7 @@ def _searched(pieces: DataFrame, length: int, hot: int, chunk: int) -> DataFrame
             groups.append((rows[0][1], rows))
         if groups:
             yield solve(groups)
+        trim()
 
     dealt = pieces.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
     return dealt.mapInArrow(run, "kind int, k1 long, k2 long, a long, b long, window binary")
