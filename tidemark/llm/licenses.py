@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, map_rows, table, texts
+from .common import claim, fresh_path, map_rows, table, texts
 
 THRESHOLD = 0.72
 WINDOW = 40
@@ -175,6 +175,9 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id") -> DataFrame:
     own = map_rows(texts(keyed, "id", "path"), run, "id long, path string, own string, similarity double, mostly boolean")
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     own = own.withColumn("file", F.col("own").isNotNull() & (F.col("mostly") | F.regexp_extract("path", "[^/]*$", 0).rlike(_NAME)))
+    # Scored once: the table, without texts, serves the files and their directories.
+    own.write.parquet(out := fresh_path(docs.sparkSession, "licenses"))
+    own = docs.sparkSession.read.parquet(out)
     given = own.where("file").groupBy("dir").agg(F.max_by("own", F.struct(F.col("similarity"), F.col("path"))).alias("given"))
     # Ancestors of each directory, itself first; the deepest that has a licence file counts.
     dirs = own.where("dir is not null").select("dir").distinct()
