@@ -393,6 +393,16 @@ def test_near_duplicate_chain(spark):
     assert set(got.values()) == {0} and len(got) == 12
 
 
+def test_near_duplicates_in_a_family_with_a_common_passage(spark):
+    """4,000 texts at similarity 0.66 by a passage, and 40 pairs of them at 0.83: exactly those are classes."""
+    common = [f"c{k}" for k in range(120)]
+    own = lambda i: [f"o{i}x{k}" for k in range(30)]
+    rows = [(i, " ".join(common + own(i))) for i in range(4000)]
+    rows += [(10_000 + i, " ".join(common + own(i)[:16] + [f"n{i}x{k}" for k in range(14)])) for i in range(1000, 3000, 50)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
 def test_near_duplicates_odd(odd, empty):
     out = neardup.classes(odd)
     assert out.count() == odd.count() and neardup.classes(empty).count() == 0

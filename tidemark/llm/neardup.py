@@ -6,9 +6,10 @@ first.  A shingle stops as soon as its next arrival is later than all registers.
 with the probability Jaccard similarity.  BANDS bands of ROWS registers give candidates; each
 candidate is verified on the exact weighted shingles.
 
-A bucket's members meet only its two leaders, never each other, so a bucket of n texts gives 2n
-candidates.  Classes that met in a bucket without a link there meet once more, each by two members;
-and in finer buckets, of two bands.  Equal texts are joined first by their hash.
+A bucket's members first meet its two leaders only, so a bucket of n texts gives 2n candidates.
+Then all texts of buckets that still hold more than one class meet again by the rarest of their
+shingles (a prefix filter), which misses no pair at the threshold.  Equal texts are joined first by
+their hash.
 
 Two texts are linked if their probability Jaccard similarity, or the Jaccard similarity of their
 sets of shingles, is at least THRESHOLD.  A class is a connected component; its id is its least
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, table
@@ -138,12 +139,14 @@ def _banded(keyed: DataFrame) -> DataFrame:
     return keyed.select("id", "text").mapInArrow(run, "id long, keys array<long>")
 
 
-def _contents(keyed: DataFrame) -> DataFrame:
+def _contents(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingles of the texts with these (distinct) ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(weighted(t)) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "sh"])
 
-    return keyed.select("id", "text").mapInArrow(run, "id long, sh binary")
+    return keyed.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, sh binary")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -188,24 +191,46 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _between(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates between the classes that met in a bucket but were not linked there.
+def _unlinked(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of all texts in buckets that hold more than one class."""
+    known = bands.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), F.explode("keys").alias("key"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return known.join(mixed, "key", "left_semi").select("id", "label").distinct()
+
+
+def _between(items: DataFrame, threshold: float) -> DataFrame:
+    """Candidates between the classes of `items` (id, label, sh): no pair at the threshold is left out.
 
-    A class stands in a bucket with its least and greatest member, so a large class costs no more
-    than a small one.  They meet those of the bucket's first class; and the least members meet
-    again in finer buckets, of two bands, where texts that only share a common passage part.
+    The shingles that a linked pair shares have at least the threshold's share of the weights, or of
+    the number, in both texts (a term of the probability Jaccard is at most the lesser weight).  So
+    the first of them in any fixed order lies in both prefixes, of what has at most the rest before
+    it.  In the order from rare to common, passages that many texts share are in few prefixes.
     """
-    known = bands.join(labels, "id", "left").select("id", "keys", F.coalesce("label", "id").alias("label"))
-    met = known.select(F.explode("keys").alias("key"), "id", "label").groupBy("key", "label").agg(F.min("id").alias("r1"), F.max("id").alias("r2"))
-    first = met.groupBy("key").agg(F.min(F.struct("label", "r1", "r2")).alias("f"), F.max("label").alias("hi")).where("f.label < hi").select("key", "f")
-    mixed = met.join(first, "key")
-    star = mixed.where("label <> f.label").select(F.explode(F.expr("array(struct(r1 AS x, f.r1 AS y), struct(r1 AS x, f.r2 AS y), struct(r2 AS x, f.r1 AS y), struct(r2 AS x, f.r2 AS y))")).alias("p")).select("p.x", "p.y")
-    stood = mixed.groupBy(F.col("r1").alias("id"), "label").agg(F.sort_array(F.collect_list("key")).alias("in"))
-    two = F.expr("flatten(transform(`in`, (x, i) -> transform(slice(`in`, i + 2, size(`in`)), y -> xxhash64(x, y))))")
-    finer = stood.select("id", "label", F.explode(two).alias("key"))
-    lead = finer.groupBy("key").agg(F.min(F.struct("label", "id")).alias("f"), F.max("label").alias("hi")).where("f.label < hi").select("key", "f")
-    fine = finer.join(lead, "key").where("label <> f.label").select(F.col("id").alias("x"), F.col("f.id").alias("y"))
-    return star.unionByName(fine).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_unpacked(x) for x in b.column(2).to_pylist()]
+            if got:
+                size = [len(h) for h, _ in got]
+                row = np.repeat(np.arange(len(got)), size)
+                cols = [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(3).take(pa.array(row))]
+                h = np.concatenate([h for h, _ in got]).astype(np.int64)
+                w = np.concatenate([w / w.sum() for _, w in got])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(h), pa.array(w), pa.array(np.repeat([1 / n for n in size], size))], names=["id", "label", "t", "h", "w", "u"])
+
+    each = items.select("id", "label", "sh", F.xxhash64("sh").alias("t")).mapInArrow(run, "id long, label long, t long, h long, w double, u double")
+    # Shingles of one text make no pair; they are the start of its prefix, before all others.
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    text = Window.partitionBy("id", "t")
+    order = text.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = [(1 - F.sum(c).over(text) + F.sum(c).over(order) - F.col(c)).alias(c) for c in ("w", "u")]
+    first = cut(each.join(often, "h").select("id", "label", "h", *ahead).where(F.least("w", "u") <= 1 - threshold + 1e-6).select("id", "label", "h").distinct())
+    # Of two classes at least one is not the shingle's largest, so a large class never meets itself.
+    top = first.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "top")
+    met = first.join(top, "h")
+    x = met.where("label <> top").select("h", F.col("id").alias("x"), F.col("label").alias("lx"))
+    y = met.select("h", F.col("id").alias("y"), F.col("label").alias("ly"), "top")
+    return x.join(y, "h").where("lx <> ly AND (ly = top OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,10 +242,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     path = fresh_path(spark, "bands")
     _banded(keyed).join(reps.select(F.col("rep").alias("id")).distinct(), "id").select("id", "keys").write.parquet(path)
     bands = spark.read.parquet(path)
-    contents = _contents(keyed)
-    links = cut(_verified(_stars(bands.select("id", F.explode("keys").alias("key"))), contents, threshold))
+    pairs = cut(_stars(bands.select("id", F.explode("keys").alias("key"))))
+    links = cut(_verified(pairs, _contents(keyed, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), threshold))
     labels = components(links)
-    more = cut(_verified(_between(bands, labels), contents, threshold))
+    rest = cut(_unlinked(bands, labels))
+    path = fresh_path(spark, "unlinked")
+    _contents(keyed, rest.select("id")).join(rest, "id").select("id", "label", "sh").write.parquet(path)
+    items = spark.read.parquet(path)
+    more = cut(_verified(_between(items, threshold), items.select("id", "sh"), threshold))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     rep = named.join(reps, ["t1", "t2"]).select("id", "rep")
