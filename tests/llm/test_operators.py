@@ -403,6 +403,16 @@ def test_near_duplicates_in_a_family_with_a_common_passage(spark):
     assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
 
 
+def test_near_duplicates_of_any_member(spark):
+    """Texts near to one member in the midst of a large class, and to no other, join it."""
+    common = [f"c{k}" for k in range(200)]
+    own = lambda i: [f"o{i}x{k}" for k in range(16)]
+    rows = [(i, " ".join(common + own(i))) for i in range(1000)]
+    rows += [(10_000 + i, " ".join([f"n{i}x{k}" for k in range(20)] + common[20:] + own(i))) for i in range(300, 700, 10)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == len(rows)
+
+
 def test_near_duplicates_odd(odd, empty):
     out = neardup.classes(odd)
     assert out.count() == odd.count() and neardup.classes(empty).count() == 0
