@@ -413,6 +413,36 @@ def test_near_duplicates_of_any_member(spark):
     assert set(got.values()) == {0} and len(got) == len(rows)
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    """Copies with one line repeated 100 and 400 times: near as sets, far by weights, and by length."""
+    base = lambda i: [f"b{i}x{k}" for k in range(100)]
+    rows = [(100 * n + i, " ".join(base(i) + base(i)[:8] * n)) for i in range(20) for n in (0, 100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
+    item = [neardup.weighted(t) for k, t in rows if k % 100 == 0]
+    assert [max(neardup.similarity(item[0], x)) >= 0.8 for x in item[1:]] == [True, True]
+    assert neardup.similarity(item[0], item[2])[0] < 0.8
+
+
+def test_near_duplicates_of_any_length(documents):
+    """As brute force, whatever the ratio of lengths, with copies that repeat a line among the texts."""
+    some = documents.select("doc_id", "text").where("doc_id % 5 = 0 AND length(text) < 3000")
+    more = some.where("doc_id % 10 = 0").selectExpr("doc_id + 1000000 AS doc_id", "concat(text, repeat(concat(' ', substring_index(text, ' ', 9)), 60)) AS text")
+    both = some.unionByName(more).localCheckpoint()
+
+    def items(rows):
+        return [(r.doc_id, neardup.weighted(r.text or "")) for r in rows]
+
+    texts = items(both.collect())
+    near = [(i, j) for n, (i, a) in enumerate(texts) for j, b in texts[:n] if np.intersect1d(a[0], b[0]).size and max(neardup.similarity(a, b)) >= 0.8]
+    label = {i: i for i, _ in texts}
+    while any(label[i] != label[j] for i, j in near):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r.doc_id: r.class_id for r in neardup.classes(both).collect()} == label
+
+
 def test_near_duplicates_odd(odd, empty):
     out = neardup.classes(odd)
     assert out.count() == odd.count() and neardup.classes(empty).count() == 0

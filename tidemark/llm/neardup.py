@@ -4,7 +4,8 @@ Each shingle of five words, weighted by how often it occurs, is a Poisson proces
 rate is its weight; each arrival falls on a random register, which keeps the shingle that arrives
 first.  A shingle stops as soon as its next arrival is later than all registers.  Registers agree
 with the probability Jaccard similarity.  BANDS bands of ROWS registers give candidates; each
-candidate is verified on the exact weighted shingles.
+candidate is verified on the exact weighted shingles.  A text that repeats shingles is banded once
+more as a set, each shingle with weight 1.
 
 A bucket's members first meet its two leaders only, so a bucket of n texts gives 2n candidates.
 Then all texts of buckets that still hold more than one class meet again by the rarest of their
@@ -72,20 +73,6 @@ def signatures(items: list[tuple[np.ndarray, np.ndarray]], registers: int = BAND
     return who.reshape(-1, registers)
 
 
-def all_signatures(texts: list[str]) -> np.ndarray:
-    """Signatures of many texts, in groups of bounded size."""
-    out, group, held = [], [], 0
-    for t in texts:
-        group.append(weighted(t))
-        held += len(group[-1][0])
-        if held > GROUP:
-            out.append(signatures(group))
-            group, held = [], 0
-    if group:
-        out.append(signatures(group))
-    return np.concatenate(out)
-
-
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     rows = signature.shape[1] // bands
     out = np.zeros((len(signature), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
@@ -94,6 +81,32 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def all_keys(texts: list[str]) -> list[np.ndarray]:
+    """Distinct band keys of many texts, in groups of bounded size.
+
+    Texts that repeat a shingle have the keys of their set of shingles too, as if each occurred once.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    group, at, held = [], [], 0
+
+    def flush() -> None:
+        for k, keys in zip(at, band_keys(signatures(group)), strict=True):
+            out[k] = np.union1d(out[k], keys)
+
+    for k, t in enumerate(texts):
+        h, w = weighted(t)
+        for weights in [w] if (w == 1).all() else [w, np.ones_like(w)]:
+            group.append((h, weights))
+            at.append(k)
+            held += len(h)
+        if held > GROUP:
+            flush()
+            group, at, held = [], [], 0
+    if group:
+        flush()
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Probability Jaccard of the weights, and Jaccard of the sets."""
     (ha, wa), (hb, wb) = a, b
@@ -133,8 +146,8 @@ def _banded(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = band_keys(all_signatures(b.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
+                keys = all_keys(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
 
     return keyed.select("id", "text").mapInArrow(run, "id long, keys array<long>")
 
