@@ -211,39 +211,52 @@ def _unlinked(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "key", "left_semi").select("id", "label").distinct()
 
 
-def _between(items: DataFrame, threshold: float) -> DataFrame:
-    """Candidates between the classes of `items` (id, label, sh): no pair at the threshold is left out.
+def _prefixes(items: DataFrame, threshold: float) -> DataFrame:
+    """(id, h, w, u) of `items` (id, sh): the prefix's shingles and the odds of what is before them.
 
     The shingles that a linked pair shares have at least the threshold's share of the weights, or of
-    the number, in both texts (a term of the probability Jaccard is at most the lesser weight).  So
-    the first of them in any fixed order lies in both prefixes, of what has at most the rest before
-    it.  In the order from rare to common, passages that many texts share are in few prefixes.
+    the number, in both texts.  So the first of them in any fixed order lies in both prefixes, of
+    what has at most the rest before it; in the order from rare to common, passages that many texts
+    share are in few prefixes.  With shares f and g of two texts before their first common shingle,
+    both similarities are at most 1 / (1 + f / (1 - f) + g / (1 - g)).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_unpacked(x) for x in b.column(2).to_pylist()]
+            got = [_unpacked(x) for x in b.column(1).to_pylist()]
             if got:
                 size = [len(h) for h, _ in got]
                 row = np.repeat(np.arange(len(got)), size)
-                cols = [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(3).take(pa.array(row))]
+                cols = [b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row))]
                 h = np.concatenate([h for h, _ in got]).astype(np.int64)
                 w = np.concatenate([w / w.sum() for _, w in got])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(h), pa.array(w), pa.array(np.repeat([1 / n for n in size], size))], names=["id", "label", "t", "h", "w", "u"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(h), pa.array(w), pa.array(np.repeat([1 / n for n in size], size))], names=["id", "t", "h", "w", "u"])
 
-    each = items.select("id", "label", "sh", F.xxhash64("sh").alias("t")).mapInArrow(run, "id long, label long, t long, h long, w double, u double")
+    each = items.select("id", "sh", F.xxhash64("sh").alias("t")).mapInArrow(run, "id long, t long, h long, w double, u double")
     # Shingles of one text make no pair; they are the start of its prefix, before all others.
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     text = Window.partitionBy("id", "t")
     order = text.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = [(1 - F.sum(c).over(text) + F.sum(c).over(order) - F.col(c)).alias(c) for c in ("w", "u")]
-    first = cut(each.join(often, "h").select("id", "label", "h", *ahead).where(F.least("w", "u") <= 1 - threshold + 1e-6).select("id", "label", "h").distinct())
+    odds = [F.min(F.col(c) / (1 - F.col(c))).alias(c) for c in ("w", "u")]
+    first = each.join(often, "h").select("id", "h", "n", *ahead).where(F.least("w", "u") <= 1 - threshold + 1e-6)
+    first = cut(first.where("w < 1 AND u < 1").groupBy("id", "h", "n").agg(*odds))
+    # Of shingles that lie in the prefixes of just the same texts, the first is enough.
+    who = first.groupBy("h", "n").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("i1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("i2")).where("k > 1")
+    one = who.groupBy("k", "i1", "i2").agg(F.min(F.struct("n", "h"))["h"].alias("h")).select("h")
+    return cut(first.drop("n").join(one, "h", "left_semi"))
+
+
+def _between(first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Candidates between classes: no pair at the threshold is left out."""
+    named = first.join(labels, "id")
     # Of two classes at least one is not the shingle's largest, so a large class never meets itself.
-    top = first.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "top")
-    met = first.join(top, "h")
-    x = met.where("label <> top").select("h", F.col("id").alias("x"), F.col("label").alias("lx"))
-    y = met.select("h", F.col("id").alias("y"), F.col("label").alias("ly"), "top")
-    return x.join(y, "h").where("lx <> ly AND (ly = top OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    top = named.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "top")
+    met = named.join(top, "h")
+    x = met.where("label <> top").select("h", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("w").alias("wx"), F.col("u").alias("ux"))
+    y = met.select("h", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("w").alias("wy"), F.col("u").alias("uy"), "top")
+    able = F.least(F.col("wx") + F.col("wy"), F.col("ux") + F.col("uy")) <= 1 / threshold - 1 + 1e-5
+    return x.join(y, "h").where("lx <> ly AND (ly = top OR x < y)").where(able).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -260,9 +273,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(links)
     rest = cut(_unlinked(bands, labels))
     path = fresh_path(spark, "unlinked")
-    _contents(keyed, rest.select("id")).join(rest, "id").select("id", "label", "sh").write.parquet(path)
+    _contents(keyed, rest.select("id")).write.parquet(path)
     items = spark.read.parquet(path)
-    more = cut(_verified(_between(items, threshold), items.select("id", "sh"), threshold))
+    more = cut(_verified(_between(_prefixes(items, threshold), rest, threshold), items, threshold))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     rep = named.join(reps, ["t1", "t2"]).select("id", "rep")
