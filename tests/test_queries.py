@@ -23,3 +23,9 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["event_type", "value"]
     assert set(QUERIES) <= set(e.queries()) and set(ORACLE_SQL) <= set(e.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["P5_hidden_tags", "D9_group_by_entity", "F1_version_dedup", "A16_series_search", "G1_missing_tags", "G2_stream_groups", "P28_stages", "P28_default_stage", "A1_measure_scan", "F3_element_dedup", "P6_eq"])
+def test_no_limit_where_the_sql_has_none(name, spark, sf):
+    assert "LIMIT" not in ORACLE_SQL[name].upper()
+    assert "Limit" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

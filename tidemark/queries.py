@@ -52,11 +52,11 @@ def _fn(key: str, sql: str | None = None):
 
 def _events(key: str, where: str, sql: str) -> None:
     """A predicate on the event stream: the ids that pass."""
-    _ql(key, f"SELECT event_type FROM STREAM events IN log WHERE {where} LIMIT 100000000", "event_id", f"SELECT event_id FROM {ELEMENT_SQL} WHERE {sql}")
+    _ql(key, f"SELECT event_type FROM STREAM events IN log WHERE {where} LIMIT 4294967295", "event_id", f"SELECT event_id FROM {ELEMENT_SQL} WHERE {sql}")
 
 
 def _docs(key: str, where: str, sql: str) -> None:
-    _ql(key, f"SELECT lang FROM STREAM documents IN docs WHERE {where} LIMIT 100000000", "doc_id", f"SELECT doc_id FROM documents WHERE {sql}")
+    _ql(key, f"SELECT lang FROM STREAM documents IN docs WHERE {where} LIMIT 4294967295", "doc_id", f"SELECT doc_id FROM documents WHERE {sql}")
 
 
 def _agg(key: str, function: str, field: str, sql: str, show: str = "{}") -> None:
@@ -65,9 +65,9 @@ def _agg(key: str, function: str, field: str, sql: str, show: str = "{}") -> Non
 
 # --- scans ------------------------------------------------------------------------------------
 _ql("entry_top_sum", f"SELECT TOP 5 value DESC, event_type, value::field, SUM(value) FROM MEASURE event_value IN ev {SPAN} WHERE event_type IN ('click', 'view') GROUP BY event_type, value", "event_type; round(value, 2) AS value", f"SELECT event_type, round(sum(value), 2) AS value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND event_type IN ('click', 'view') GROUP BY 1 ORDER BY sum(value) DESC LIMIT 5")
-_ql("A1_measure_scan", "SELECT l_orderkey, l_linenumber, l_returnflag, quantity::field FROM MEASURE lineitem IN tpch TIME BETWEEN '1996-01-01T00:00:00Z' AND '1996-03-31T00:00:00Z' LIMIT 100000000", "l_orderkey; l_linenumber; l_returnflag; quantity", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, l_quantity AS quantity FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'")
-_ql("A2_measure_scan_filtered", f"SELECT l_orderkey, l_linenumber, extendedprice::field FROM MEASURE lineitem IN tpch {ALL} WHERE l_returnflag = 'R' AND l_suppkey < 20 LIMIT 100000000", "l_orderkey; l_linenumber; extendedprice", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice AS extendedprice FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20")
-_ql("A3_measure_versions", f"SELECT l_suppkey, quantity::field FROM MEASURE supply IN tpch {ALL} LIMIT 100000000", "l_suppkey; version; quantity", "SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS version, l_quantity AS quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1")
+_ql("A1_measure_scan", "SELECT l_orderkey, l_linenumber, l_returnflag, quantity::field FROM MEASURE lineitem IN tpch TIME BETWEEN '1996-01-01T00:00:00Z' AND '1996-03-31T00:00:00Z' LIMIT 4294967295", "l_orderkey; l_linenumber; l_returnflag; quantity", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, l_quantity AS quantity FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'")
+_ql("A2_measure_scan_filtered", f"SELECT l_orderkey, l_linenumber, extendedprice::field FROM MEASURE lineitem IN tpch {ALL} WHERE l_returnflag = 'R' AND l_suppkey < 20 LIMIT 4294967295", "l_orderkey; l_linenumber; extendedprice", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice AS extendedprice FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20")
+_ql("A3_measure_versions", f"SELECT l_suppkey, quantity::field FROM MEASURE supply IN tpch {ALL} LIMIT 4294967295", "l_suppkey; version; quantity", "SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS version, l_quantity AS quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1")
 _ql("A4_index_mode", "SELECT n_nationkey, n_name FROM MEASURE nation IN geo WHERE n_regionkey = 1 ORDER BY name", "n_nationkey; n_name", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 _ql("A5_stream_time_scan", f"SELECT event_type FROM STREAM events IN log {SPAN} ORDER BY TIME DESC LIMIT 50", "event_id; event_type", f"SELECT event_id, event_type FROM events WHERE {SPAN_SQL} ORDER BY ts DESC, event_id LIMIT 50")
 _ql("A6_stream_index_scan", f"SELECT amount FROM STREAM events IN log {SPAN} ORDER BY amount DESC LIMIT 40", "event_id; amount", f"SELECT event_id, amount FROM {ELEMENT_SQL} WHERE {SPAN_SQL} ORDER BY amount DESC, event_id LIMIT 40")
@@ -77,8 +77,8 @@ _ql("A10_trace_ordered", "SELECT duration FROM TRACE orders IN shop ORDER BY dur
 _ql("A11_trace_key_range", "SELECT duration FROM TRACE orders IN shop WHERE duration >= 100000 AND duration < 200000 ORDER BY duration ASC LIMIT 15", "o_custkey; o_orderkey; duration", f"WITH t AS (SELECT o_custkey FROM {ORDER_SQL} WHERE duration >= 100000 AND duration < 200000 GROUP BY 1 ORDER BY min(duration), o_custkey LIMIT 15) SELECT o_custkey, o_orderkey, duration FROM {ORDER_SQL} JOIN t USING (o_custkey)")
 _ql("A13_trace_missing_tags", "SELECT fresh, duration FROM TRACE orders IN (shop, shop_new) WHERE o_custkey IN (1, 10000001)", "o_custkey; o_orderkey; fresh; duration", f"SELECT o_custkey, o_orderkey, CAST(NULL AS VARCHAR) AS fresh, duration FROM {ORDER_SQL} WHERE o_custkey = 1 UNION ALL SELECT o_custkey + 10000000, o_orderkey, 'new', duration FROM {ORDER_SQL} WHERE o_custkey = 1")
 PROPERTY_SQL = "(WITH b AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS label, c_mktsegment AS segment, CAST(trunc(c_acctbal) AS BIGINT) AS balance, c_custkey AS number FROM customer), r AS (SELECT *, 1 AS rev FROM b UNION ALL SELECT id, label, segment, balance + 1000, number, 2 FROM b WHERE number % 3 = 0 UNION ALL SELECT *, 3 FROM b WHERE number % 7 = 0) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1 AND rev < 3)"
-_ql("A15_property_search", "SELECT label, balance FROM PROPERTY customer IN crm WHERE segment = 'BUILDING' LIMIT 100000000", "id; label; balance", f"SELECT id, label, balance FROM {PROPERTY_SQL} WHERE segment = 'BUILDING'")
-_ql("A16_series_search", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE user_id = 3 AND event_type IN ('click', 'view') LIMIT 100000", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND user_id = 3 AND event_type IN ('click', 'view')")
+_ql("A15_property_search", "SELECT label, balance FROM PROPERTY customer IN crm WHERE segment = 'BUILDING' LIMIT 4294967295", "id; label; balance", f"SELECT id, label, balance FROM {PROPERTY_SQL} WHERE segment = 'BUILDING'")
+_ql("A16_series_search", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE user_id = 3 AND event_type IN ('click', 'view') LIMIT 4294967295", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND user_id = 3 AND event_type IN ('click', 'view')")
 
 
 @_fn("A14_topn_lists", f"WITH v AS (SELECT date_trunc('day', ts) AS d, event_type, user_id, amount FROM {EVENT_SQL} QUALIFY row_number() OVER (PARTITION BY d, event_type, user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, user_id, amount AS value FROM v QUALIFY row_number() OVER (PARTITION BY d, event_type ORDER BY amount DESC, user_id) <= 20")
@@ -113,7 +113,7 @@ def _a22(spark: SparkSession, d: str) -> DataFrame:
 # --- predicates -------------------------------------------------------------------------------
 _ql("P1_tag_projection", "SELECT event_type, user_id FROM STREAM events IN log LIMIT 30", "event_id; event_type; user_id", "SELECT event_id, event_type, user_id FROM events ORDER BY ts, event_id LIMIT 30")
 _ql("P3_star", f"SELECT * FROM MEASURE event_value IN ev {SPAN} LIMIT 25", "user_id; event_type; kind; value; amount; version", f"SELECT user_id, event_type, kind, value, amount, event_id AS version FROM {EVENT_SQL} WHERE {SPAN_SQL} ORDER BY ts, user_id, event_type LIMIT 25")
-_ql("P5_hidden_tags", "SELECT user_id FROM STREAM events IN log WHERE event_type = 'purchase' AND amount > 100 LIMIT 100000", "event_id; user_id", f"SELECT event_id, user_id FROM {ELEMENT_SQL} WHERE event_type = 'purchase' AND amount > 100")
+_ql("P5_hidden_tags", "SELECT user_id FROM STREAM events IN log WHERE event_type = 'purchase' AND amount > 100 LIMIT 4294967295", "event_id; user_id", f"SELECT event_id, user_id FROM {ELEMENT_SQL} WHERE event_type = 'purchase' AND amount > 100")
 _events("P6_eq", "event_type = 'click'", "event_type = 'click'")
 _events("P6_eq_null", "kind = NULL", "false")
 _events("P7_ne_null", "kind != 'click'", "NOT coalesce(kind = 'click', false)")
@@ -132,13 +132,13 @@ _docs("P11_match_standard", "text MATCH('4', 'standard')", "list_contains(string
 _docs("P11_match_url", "text MATCH('License', 'url')", "list_contains(string_split_regex(text, '[^\\p{L}\\p{N}]+'), 'License')")
 _docs("P11_match_keyword", "source MATCH('src5', 'keyword')", "source = 'src5'")
 _events("P12_tree", "(event_type = 'click' OR event_type = 'view') AND (amount < 50 OR user_id = 7) OR amount > 480", "(event_type = 'click' OR event_type = 'view') AND (amount < 50 OR user_id = 7) OR amount > 480")
-_ql("P13_time_inclusive", "SELECT user_id FROM STREAM events IN log TIME <= '2024-01-03T12:00:00Z' LIMIT 100000000", "event_id", "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-03 12:00:00'")
+_ql("P13_time_inclusive", "SELECT user_id FROM STREAM events IN log TIME <= '2024-01-03T12:00:00Z' LIMIT 4294967295", "event_id", "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-03 12:00:00'")
 _ql("P14_entity_contradiction", f"SELECT user_id, value::field FROM MEASURE event_value IN ev {SPAN} WHERE event_type = 'click' AND event_type = 'view'", "user_id; value", "SELECT user_id, value FROM events WHERE false")
 _ql("P20_trace_any_span", "SELECT state FROM TRACE orders IN shop WHERE state = 'P' ORDER BY duration DESC LIMIT 12", "o_custkey; o_orderkey; state", f"WITH t AS (SELECT o_custkey FROM {ORDER_SQL} WHERE o_orderstatus = 'P' GROUP BY 1 ORDER BY max(duration) DESC, o_custkey LIMIT 12) SELECT o_custkey, o_orderkey, o_orderstatus AS state FROM orders JOIN t USING (o_custkey)")
 _ql("P21_trace_id_and_tag", "SELECT duration FROM TRACE orders IN shop WHERE o_custkey IN (1, 2, 4, 5, 7) AND duration > 200000", "o_custkey; o_orderkey", f"SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM {ORDER_SQL} WHERE o_custkey IN (1, 2, 4, 5, 7) AND duration > 200000)")
 _ql("P26_property_ids", "SELECT label FROM PROPERTY customer IN crm WHERE id IN ('3', '7', '12', '500') AND balance > 0", "id; label", f"SELECT id, label FROM {PROPERTY_SQL} WHERE id IN ('3', '7', '12', '500') AND balance > 0")
-_ql("P28_stages", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN staged ON (hot, cold) STAGES {ALL} WHERE user_id = 5 LIMIT 100000", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE user_id = 5")
-_ql("P28_default_stage", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN staged {ALL} WHERE user_id = 5 LIMIT 100000", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-20'")
+_ql("P28_stages", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN staged ON (hot, cold) STAGES {ALL} WHERE user_id = 5 LIMIT 4294967295", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE user_id = 5")
+_ql("P28_default_stage", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN staged {ALL} WHERE user_id = 5 LIMIT 4294967295", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-20'")
 
 # --- aggregates -------------------------------------------------------------------------------
 _agg("D1_sum_int", "SUM", "amount", "CAST(sum(amount) AS BIGINT)")
@@ -153,7 +153,7 @@ _ql("D5_mean_floor", f"SELECT l_returnflag, discount::field, MEAN(discount) FROM
 _ql("D6_scalar", f"SELECT SUM(quantity_i) FROM MEASURE lineitem IN tpch {ALL}", "quantity_i", "SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity_i FROM lineitem")
 _ql("D6_scalar_empty", "SELECT SUM(quantity_i) FROM MEASURE lineitem IN tpch TIME BETWEEN '1980-01-01T00:00:00Z' AND '1981-01-01T00:00:00Z'", "quantity_i", "SELECT CAST(0 AS BIGINT) AS quantity_i WHERE false")
 _ql("D7_group_two_keys", f"SELECT l_returnflag, l_linestatus, extendedprice::field, SUM(extendedprice) FROM MEASURE lineitem IN tpch {ALL} GROUP BY l_returnflag, l_linestatus, extendedprice", "l_returnflag; l_linestatus; round(extendedprice, 1) AS extendedprice", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 1) AS extendedprice FROM lineitem GROUP BY 1, 2")
-_ql("D9_group_by_entity", f"SELECT user_id, event_type, amount::field, MAX(amount) FROM MEASURE event_value IN ev {SPAN} GROUP BY user_id, event_type, amount LIMIT 100000", "user_id; event_type; amount", f"SELECT user_id, event_type, max(amount) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} GROUP BY 1, 2")
+_ql("D9_group_by_entity", f"SELECT user_id, event_type, amount::field, MAX(amount) FROM MEASURE event_value IN ev {SPAN} GROUP BY user_id, event_type, amount LIMIT 4294967295", "user_id; event_type; amount", f"SELECT user_id, event_type, max(amount) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} GROUP BY 1, 2")
 _ql("D10_raw_group", f"SELECT event_type FROM MEASURE event_value IN ev {SPAN} GROUP BY event_type", "event_type; version", f"SELECT event_type, event_id AS version FROM {EVENT_SQL} WHERE {SPAN_SQL} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, user_id) = 1")
 _ql("D14_first_seen_tags", f"SELECT event_type, user_id, amount::field, SUM(amount) FROM MEASURE event_value IN ev {SPAN} GROUP BY event_type, amount", "event_type; user_id; amount", f"SELECT event_type, arg_min(user_id, (ts, user_id)) AS user_id, CAST(sum(amount) AS BIGINT) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} GROUP BY 1")
 _ql("D15_null_group", f"SELECT kind, amount::field, COUNT(amount) FROM MEASURE event_value IN ev {SPAN} GROUP BY kind, amount", "kind; amount", f"SELECT kind, count(amount) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} GROUP BY 1")
@@ -184,8 +184,8 @@ def _d5(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- dedup, order, limits ---------------------------------------------------------------------
-_ql("F1_version_dedup", f"SELECT l_suppkey, quantity_i::field, SUM(quantity_i) FROM MEASURE supply IN tpch {ALL} GROUP BY l_suppkey, quantity_i LIMIT 100000", "l_suppkey; quantity_i", "SELECT l_suppkey, CAST(sum(q) AS BIGINT) AS quantity_i FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1) GROUP BY 1")
-_ql("F3_element_dedup", "SELECT user_id FROM STREAM events IN log_copy LIMIT 100000000", "event_id; user_id", "SELECT event_id, user_id FROM events")
+_ql("F1_version_dedup", f"SELECT l_suppkey, quantity_i::field, SUM(quantity_i) FROM MEASURE supply IN tpch {ALL} GROUP BY l_suppkey, quantity_i LIMIT 4294967295", "l_suppkey; quantity_i", "SELECT l_suppkey, CAST(sum(q) AS BIGINT) AS quantity_i FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1) GROUP BY 1")
+_ql("F3_element_dedup", "SELECT user_id FROM STREAM events IN log_copy LIMIT 4294967295", "event_id; user_id", "SELECT event_id, user_id FROM events")
 _ql("F5_property_latest", "SELECT balance FROM PROPERTY customer IN crm ORDER BY balance DESC LIMIT 30", "balance", f"SELECT balance FROM {PROPERTY_SQL} ORDER BY balance DESC LIMIT 30")
 _ql("F7_order_time", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} ORDER BY TIME DESC LIMIT 40", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} ORDER BY ts DESC, user_id, event_type LIMIT 40")
 _ql("F8_order_tag", f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} ORDER BY kind ASC LIMIT 40", "user_id; event_type; value", f"SELECT user_id, event_type, value FROM {EVENT_SQL} WHERE {SPAN_SQL} ORDER BY kind ASC NULLS FIRST, ts, user_id, event_type LIMIT 40")
@@ -199,8 +199,8 @@ _ql("F20_trace_offset", "SELECT duration FROM TRACE orders IN shop ORDER BY dura
 
 # --- several groups ---------------------------------------------------------------------------
 _ql("G1_multi_group", f"SELECT event_type, amount::field, SUM(amount) FROM MEASURE event_value IN (ev, ev_old) {ALL} GROUP BY event_type, amount", "event_type; amount", f"SELECT event_type, CAST(2 * sum(amount) AS BIGINT) AS amount FROM {EVENT_SQL} GROUP BY 1")
-_ql("G1_missing_tags", f"SELECT user_id, event_type, kind, extra FROM MEASURE event_value IN (ev, ev_old) {ALL} WHERE user_id = 3 LIMIT 100000", "user_id; event_type; kind; extra", f"SELECT user_id, event_type, kind, CAST(NULL AS VARCHAR) AS extra FROM {EVENT_SQL} WHERE user_id = 3 UNION ALL SELECT user_id, event_type, NULL, 'x3' FROM {EVENT_SQL} WHERE user_id = 3")
-_ql("G2_stream_groups", "SELECT user_id FROM STREAM events IN (log, log_copy) WHERE user_id = 70 LIMIT 100000", "event_id; user_id", "SELECT event_id, user_id FROM events WHERE user_id = 70")
+_ql("G1_missing_tags", f"SELECT user_id, event_type, kind, extra FROM MEASURE event_value IN (ev, ev_old) {ALL} WHERE user_id = 3 LIMIT 4294967295", "user_id; event_type; kind; extra", f"SELECT user_id, event_type, kind, CAST(NULL AS VARCHAR) AS extra FROM {EVENT_SQL} WHERE user_id = 3 UNION ALL SELECT user_id, event_type, NULL, 'x3' FROM {EVENT_SQL} WHERE user_id = 3")
+_ql("G2_stream_groups", "SELECT user_id FROM STREAM events IN (log, log_copy) WHERE user_id = 70 LIMIT 4294967295", "event_id; user_id", "SELECT event_id, user_id FROM events WHERE user_id = 70")
 _ql("G3_trace_type_conflict", "SELECT state FROM TRACE orders IN (shop, shop_new) WHERE o_custkey IN (1, 10000001)", "o_orderkey; state", "SELECT o_orderkey, o_orderstatus AS state FROM orders WHERE o_custkey = 1 UNION ALL SELECT o_orderkey, CAST(ascii(o_orderstatus) AS VARCHAR) FROM orders WHERE o_custkey = 1")
 
 # --- joins inside, sampling -------------------------------------------------------------------
@@ -330,7 +330,7 @@ def _a19(spark: SparkSession, d: str) -> DataFrame:
     _, r, store = _stored_events(spark, d)
     own = Catalog()
     own.add(r, store.loader(r))
-    return Engine(spark, own).query(f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE event_type = 'click' LIMIT 100000000").select("user_id", "event_type", "value")
+    return Engine(spark, own).query(f"SELECT user_id, event_type, value::field FROM MEASURE event_value IN ev {SPAN} WHERE event_type = 'click' LIMIT 4294967295").select("user_id", "event_type", "value")
 
 
 @_fn("A22_expire", "SELECT event_id AS version FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
@@ -404,7 +404,7 @@ def _p27(spark: SparkSession, d: str) -> DataFrame:
     c = catalog(d)
     r = replace(c.get(Kind.STREAM, "log", "events"), created=datetime(2024, 1, 15, tzinfo=timezone.utc))
     c.resources[Kind.STREAM, "log", "events"] = r
-    return Engine(spark, c).query(f"SELECT user_id FROM STREAM events IN log {ALL} LIMIT 100000000").select("event_id")
+    return Engine(spark, c).query(f"SELECT user_id FROM STREAM events IN log {ALL} LIMIT 4294967295").select("event_id")
 
 
 def _quoted(s: str) -> str:
