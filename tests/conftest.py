@@ -44,9 +44,3 @@ def duck(sf):
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
-
-
-def rows(df):
-    """Rows as a sorted list of tuples of text, columns by name."""
-    df = df[sorted(df.columns)]
-    return sorted(tuple("null" if v is None or v != v else repr(v) for v in r) for r in df.astype(object).itertuples(index=False, name=None))

@@ -1,10 +1,11 @@
 """Every catalogue query against its SQL."""
 
 import pytest
-from conftest import rows
 
 from tidemark.queries import ORACLE_SQL, QUERIES
 
+from .helpers import rows
+
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
@@ -29,3 +30,21 @@ def test_entry(spark):
 def test_no_limit_where_the_sql_has_none(name, spark, sf):
     assert "LIMIT" not in ORACLE_SQL[name].upper()
     assert "Limit" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_without_the_training_data_package(tmp_path):
+    """The rest of a copy without the two llm folders and the pipeline imports and lists its queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent.parent
+    for keep_pipeline in (True, False):
+        copy = tmp_path / str(keep_pipeline)
+        shutil.copytree(here / "tidemark", copy / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for f in ("__spark_entry__.py", *(["corpus_pipeline.py"] if keep_pipeline else [])):
+            shutil.copy(here / f, copy / f)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(q) == set(o) and 'entry_top_sum' in q and 'pipeline' not in q"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
