@@ -185,11 +185,18 @@ def test_suffix_array(parts, depth):
 
 def test_windows_are_dealt_once():
     data = np.frombuffer(bytes(random.Random(1).choices(b"abc ", k=3000)), np.uint8)
-    _, first, last = suffixes.runs(data)
+    _, first, last, _ = suffixes.runs(data)
     assert first[0] == 0 and last[-1] == len(data) - 200 and (first[1:] == last[:-1] + 1).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"gram": 150, "hot": 3}, {"chunk": 1000}])
+def test_runs_of_plain_texts_are_few():
+    """Text of one character, or of a short period, is one run that may repeat inside itself."""
+    for text in (b"-" * 100_000, b"ab " * 40_000):
+        _, first, last, several = suffixes.runs(np.frombuffer(text, np.uint8))
+        assert len(first) <= 3 and several.any() and last[-1] == len(text) - 200
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"gram": 150, "hot": 3}, {"chunk": 1000}, {"plenty": 1000}])
 def test_suffix_dedup(documents, options):
     rows = documents.select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in rows], brute([r.text.encode() for r in rows], 200), strict=True))
@@ -204,9 +211,32 @@ def test_suffix_dedup_odd(spark, odd, empty):
     assert got == want and suffixes.digest(empty).count() == 0
     out = suffixes.remove(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and out.where("text is null").count() == 1
+    assert sorted(len(r.text or "") for r in out.collect()) == sorted(len(t or "") - g for (t, g) in ((r.text, w[1][1]) for r, w in zip(sorted(rows, key=lambda r: (str(r.doc_id), len((r.text or "").encode()))), want, strict=True)))
     assert suffixes.remove(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 2}])
+def test_suffix_dedup_of_repeated_and_plain_texts(spark, options):
+    """Forty equal rows; equal texts under several ids; one character a million times; short periods."""
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
+    own, passage = prose(300), prose(60)
+    rows = [(1, own)] * 40 + [(2, own), (3, passage + " " + prose(80)), (4, prose(70) + " " + passage + prose(20)), (4, prose(90)), (5, prose(50) + passage[:230] + prose(40))]
+    rows += [(6, "-" * 3000), (7, "x" + "ab " * 700), (8, "-" * 199), (9, prose(100)), (10, "z" * 900 + "a"), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(zip([k for k, _ in rows], brute([(t or "").encode() for _, t in rows], 200), strict=True))
+    assert sorted((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffixes.digest(df, **options).collect()) == want
+    long = spark.createDataFrame([(1, "-" * 1_500_000), (2, own)], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in suffixes.digest(long, **options).collect()} == {1: 1_500_000, 2: 0}
+
+
+def test_suffix_dedup_shuffles_texts_once(documents):
+    out = suffixes.digest(documents)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and len(re.findall(r"Exchange hashpartitioning\(k1#\d+L, k2#\d+L, \d+\), ENSURE", plan)) - plan.count("ReusedExchange") <= 3
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 @given(st.lists(st.integers(1, 2048), max_size=120))
 def test_difference_fits(sizes):
@@ -429,7 +459,7 @@ def test_near_duplicates_of_any_length(documents):
     """As brute force, whatever the ratio of lengths, with copies that repeat a line among the texts."""
     some = documents.select("doc_id", "text").where("doc_id % 5 = 0 AND length(text) < 3000")
     more = some.where("doc_id % 10 = 0").selectExpr("doc_id + 1000000 AS doc_id", "concat(text, repeat(concat(' ', substring_index(text, ' ', 9)), 60)) AS text")
-    both = some.unionByName(more).localCheckpoint()
+    both = some.unionByName(more).checkpoint()
 
     def items(rows):
         return [(r.doc_id, neardup.weighted(r.text or "")) for r in rows]

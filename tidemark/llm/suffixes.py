@@ -1,15 +1,21 @@
 """Suffix-array de-duplication: bytes covered by a 200-byte string that starts anywhere else.
 
 1. Winnowing.  Every 200-byte window is assigned to the least hash (the first, on ties) of the GRAM-
-   byte strings inside it, its anchor.  Equal windows have equal anchors, so a window that repeats
-   lies in a run of windows whose anchor repeats.  Runs, not windows, are counted and shuffled.
-2. Runs whose anchor occurs once are dropped; the others meet by anchor, with their bytes.  Each
-   window is in exactly one run, so no window meets itself.
-3. In a task, equal runs collapse to one with a count, and a suffix array over the distinct runs is
-   built by two-stage sorting: suffixes smaller than their successors are sorted directly, the rest
-   induced by bucket scans.  Adjacent common prefixes of 200 bytes mark repeated starts.
-4. An anchor met more than HOT times is dealt over several tasks.  What they find is completed by
-   the hashes of the distinct windows of such anchors, counted over all tasks.
+   byte strings inside it, its anchor.  Equal windows have equal anchors.  Neighbouring windows with
+   one anchor are a run; each window is in exactly one run, so no window meets itself.  Only runs,
+   with a hash of their bytes, are counted and shuffled.
+2. Runs whose anchor occurs once are dropped.  Runs whose bytes occur more than once are covered as
+   a whole.  Where an anchor has different bytes, one copy of each is sought: these meet by anchor.
+   A run whose anchor lies at several of its places may repeat inside itself and is sought too.
+3. In a task, a suffix array over the runs is built by two-stage sorting: suffixes smaller than
+   their successors are sorted directly, the rest induced by bucket scans.  Adjacent common prefixes
+   of 200 bytes mark repeated starts.
+4. An anchor with more than HOT different runs, or PLENTY bytes, is dealt over several tasks.  What
+   they find is completed by the hashes of the distinct windows of such anchors, over all tasks.
+
+Texts are shuffled once, by id and hash: the step that takes runs out of them and the step that
+removes what was found read the same exchange.  "Same bytes" of two runs of one anchor is decided
+by 64-bit hashes.
 
 Defined results: null texts count as empty; texts under 200 bytes lose nothing; repeated rows are
 copies of each other; matches never cross documents; an empty table gives an empty result; extra
@@ -25,14 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, trim
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of an anchor that may meet in one task, and bytes sorted at once.
-HOT, CHUNK = 4096, 1 << 20
+#: Different runs and bytes of an anchor that may meet in one task, and bytes sorted at once.
+HOT, PLENTY, CHUNK = 4096, 4 << 20, 1 << 20
+#: A run's place in one number: first start, whether it may repeat inside itself, starts after the first.
+_LONGEST = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -73,15 +81,21 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first and last start of each run of windows that share one anchor."""
+def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last start of each run of windows that share one anchor, and whether the
+    anchor lies at several places of the run (without which no window repeats inside it)."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, bool)
     h = rolling(data, gram)
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     at = (_least(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return h[at[first]].view(np.int64), first, np.append(first[1:], len(at)) - 1
+    anchor = h[at]
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    if len(at) > _LONGEST:
+        first = np.union1d(first, np.arange(0, len(at), _LONGEST))
+    last = np.append(first[1:], len(at)) - 1
+    return anchor[first].view(np.int64), first, last, at[first] != at[last]
 
 
 def _direct(data: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray:
@@ -147,6 +161,7 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     smaller = rises[upto]
     small = _direct(data, np.flatnonzero(smaller), depth)
     ends = np.searchsorted(data[small], np.arange(257)) if len(small) else np.zeros(257, np.int64)
+    alike = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, data[1:] != data[:-1]), np.arange(n), 0)) + 1
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
     pending[data[-1]].append(np.array([n - 1]))
     out = []
@@ -154,12 +169,10 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         # The larger suffixes of bucket c follow the order of their successors, which stand in
         # earlier buckets or, for runs of c, in this one one step before.
         level = np.concatenate(pending[c]) if pending[c] else np.empty(0, np.int64)
-        parts = []
-        while len(level):
-            parts.append(level)
-            back = level[level > 0] - 1
-            level = back[data[back] == c]
-        bucket = np.concatenate([*parts, small[ends[c] : ends[c + 1]]])
+        steps = alike[level]
+        step = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+        larger_ones = (np.repeat(level, steps) - step)[np.argsort(step, kind="stable")]
+        bucket = np.concatenate([larger_ones, small[ends[c] : ends[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
@@ -224,49 +237,77 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
 
 
-def _anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    names = ["k1", "k2", "anchor", "at"]
+def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """k1, k2, anchor, at and a hash of the bytes of every run."""
+    names = ["k1", "k2", "anchor", "at", "same"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2 = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
-            keep: list[list[np.ndarray]] = [[], [], [], []]
+            keep: list[list[np.ndarray]] = [[] for _ in names]
             size = 0
             for i, t in enumerate(b.column(2).to_pylist()):
-                anchor, first, last = runs(np.frombuffer(t.encode(), np.uint8), length, gram)
+                raw = t.encode()
+                anchor, first, last, several = runs(np.frombuffer(raw, np.uint8), length, gram)
                 if not len(anchor):
                     continue
-                # First start and number of starts share one number: fewer bytes to shuffle.
-                for out, x in zip(keep, (np.full(len(anchor), k1[i]), np.full(len(anchor), k2[i]), anchor, (first << 20) | (last - first)), strict=True):
+                view = memoryview(raw)
+                same = np.array([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+                at = (first << 21) | (several.astype(np.int64) << 20) | (last - first)
+                for out, x in zip(keep, (np.full(len(anchor), k1[i]), np.full(len(anchor), k2[i]), anchor, at, same.view(np.int64)), strict=True):
                     out.append(x)
                 size += len(anchor)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in keep], names=names)
-                    keep, size = [[], [], [], []], 0
+                    keep, size = [[] for _ in names], 0
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in keep], names=names)
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, at long")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, at long, same long")
+
+
+def _repeating(rows: DataFrame, length: int, hot: int, plenty: int) -> DataFrame:
+    """anchor, same: how often these bytes occur (n), which copy stands for them (rep), and over how
+    many tasks the anchor's bytes are dealt (0: none is needed).  Anchors that can't repeat are out."""
+    kinds = rows.groupBy("anchor", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k1", "k2", "at")).alias("rep"), F.max(F.col("at").bitwiseAND(2 * _LONGEST - 1)).alias("size"))
+    several = F.col("size") >= _LONGEST
+    whole = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("size").bitwiseAND(_LONGEST - 1) + length).alias("bytes"))
+    salts = F.greatest(F.ceil(F.col("kinds") / hot), F.ceil(F.col("bytes") / plenty))
+    needed = (F.col("kinds") > 1) | several & (F.col("n") == 1)
+    both = kinds.join(whole, "anchor").where((F.col("all") > 1) | several)
+    return both.select("anchor", "same", "n", "rep", F.when(needed, salts).otherwise(0).cast("int").alias("salts"))
+
 
+def _per_text(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The runs of each text that repeat: place, whether they are covered as a whole, and, if their
+    bytes are needed, their anchor and its number of tasks.  A set: copies of a row share it."""
+    mine = (F.col("salts") > 0) & ((F.col("n") == 1) | (F.xxhash64("k1", "k2", "at") == F.col("rep")))
+    found = rows.join(counts, ["anchor", "same"]).where((F.col("n") > 1) | mine)
+    run = F.struct("at", (F.col("n") > 1).alias("whole"), F.when(mine, F.col("salts")).alias("salts"), F.when(mine, F.col("anchor")).alias("anchor"))
+    return found.groupBy("k1", "k2").agg(F.collect_set(run).alias("runs"))
 
-def _contexts(keyed: DataFrame, found: DataFrame, length: int, hot: int) -> DataFrame:
-    """The bytes of each run whose anchor repeats."""
-    per_doc = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("runs"))
-    both = keyed.join(per_doc, ["k1", "k2"])
-    names = ["anchor", "salt", "n", "k1", "k2", "first", "piece"]
+
+def _pieces(both: DataFrame, length: int) -> DataFrame:
+    """The bytes of the runs that are sought; from (k1, k2, text, runs, ...)."""
+    names = ["anchor", "salt", "salts", "k1", "k2", "first", "whole", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             cols: list[list] = [[] for _ in names]
             size = 0
             for k1, k2, t, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (k1, k2) == last or not own:
+                    continue  # a copy of the row before
+                last = k1, k2
                 raw = t.encode()
                 for r in own:
-                    first, more = r["at"] >> 20, r["at"] & 0xFFFFF
-                    salts = -(-r["n"] // hot)
-                    salt = 0 if salts == 1 else xxhash.xxh3_64_intdigest(f"{k1}:{k2}:{first}") % salts
+                    if not r["salts"]:
+                        continue
+                    first, more = r["at"] >> 21, r["at"] & (_LONGEST - 1)
+                    salt = 0 if r["salts"] == 1 else xxhash.xxh3_64_intdigest(f"{k1}:{k2}:{first}") % r["salts"]
                     piece = raw[first : first + more + length]
-                    for c, x in zip(cols, (r["anchor"], salt, r["n"], k1, k2, first, piece), strict=True):
+                    for c, x in zip(cols, (r["anchor"], salt, r["salts"], k1, k2, first, r["whole"], piece), strict=True):
                         c.append(x)
                     size += len(piece)
                 if size > 4 << 20:
@@ -275,99 +316,88 @@ def _contexts(keyed: DataFrame, found: DataFrame, length: int, hot: int) -> Data
             if size:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, cols, strict=True)))
 
-    return both.select("k1", "k2", "text", "runs").mapInArrow(run, "anchor long, salt long, n long, k1 long, k2 long, first long, piece binary")
+    return both.mapInArrow(run, "anchor long, salt long, salts long, k1 long, k2 long, first long, whole boolean, piece binary")
 
 
 _OUT = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("window", pa.binary())])
 
 
-def _searched(pieces: DataFrame, length: int, hot: int, chunk: int) -> DataFrame:
-    """kind 0: covered ranges; kind 1: for hot anchors, distinct windows (b: 1 if not covered yet)."""
+def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
+    """kind 0: covered ranges; kind 1: for anchors dealt over tasks, distinct windows (b: 1 if not
+    covered yet)."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def solve(groups: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
-        distinct: dict[bytes, int] = {}
-        count: list[int] = []
-        for _, rows in groups:
-            for r in rows:
-                k = distinct.setdefault(r[5], len(distinct))
-                if k == len(count):
-                    count.append(0)
-                count[k] += 1
-        hits = repeated(list(distinct), length)
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        # Bytes that stand for several copies are covered already; the others occur once.
+        distinct = {r[5]: k for k, r in enumerate(rows)}
+        keys = list(distinct)
+        hits = dict(zip(keys, repeated(keys, length), strict=True))
         out: list[tuple] = []
-        # Covered ranges relative to each distinct piece, found once for all its occurrences.
-        local: list[list[tuple[int, int]]] = []
-        for k, (c, p) in enumerate(zip(count, distinct, strict=True)):
-            if c > 1:
-                hits[k][:] = True
-            local.append([(0, len(p))] if c > 1 or hits[k].all() else _spans(hits[k], 0, length) if hits[k].any() else [])
-        for n, rows in groups:
-            seen: set[int] = set()
-            windows: dict[bytes, None] = {}
-            for _, _, k1, k2, first, piece in rows:
-                k = distinct[piece]
-                for a, b in local[k]:
-                    out.append((0, k1, k2, first + a, first + b, None))
-                if n > hot and k not in seen:
-                    seen.add(k)
-                    for i, covered in enumerate(hits[k].tolist()):
-                        w = xxhash.xxh3_128_digest(piece[i : i + length])
-                        if not covered:
-                            out.append((1, k1, k2, first + i, 1, w))
-                        elif w not in windows:
-                            windows[w] = None
-                            out.append((1, k1, k2, first + i, 0, w))
+        windows: dict[tuple[int, bytes], None] = {}
+        for anchor, salts, k1, k2, first, piece, whole in rows:
+            hit = hits[piece]
+            if not whole:
+                out += [(0, k1, k2, first + a, first + b, b"%d:%d:%d" % (k1, k2, first + a)) for a, b in _spans(hit, 0, length)]
+            if salts > 1:
+                for i, covered in enumerate(hit.tolist()):
+                    w = xxhash.xxh3_128_digest(piece[i : i + length])
+                    if not covered and not whole:
+                        out.append((1, k1, k2, first + i, 1, w))
+                    elif (anchor, w) not in windows:
+                        windows[anchor, w] = None
+                        # Of copies that are covered as a whole one speaks for two.
+                        out += [(1, k1, k2, first + i, 0, w)]
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT) if out else pa.RecordBatch.from_pylist([], schema=_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by anchor and salt; whole groups are gathered up to `chunk` bytes.
-        groups: list[tuple[int, list[tuple]]] = []
         rows: list[tuple] = []
         last, size = None, 0
         for b in batches:
-            for anchor, salt, n, k1, k2, first, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, salt, salts, k1, k2, first, whole, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (anchor, salt) != last:
-                    if rows:
-                        groups.append((rows[0][1], rows))
-                        rows = []
-                        if size > chunk:
-                            yield solve(groups)
-                            groups, size = [], 0
-                            trim()
+                    if size > chunk:
+                        yield solve(rows)
+                        rows, size = [], 0
+                        trim()
                     last = (anchor, salt)
-                rows.append((anchor, n, k1, k2, first, piece))
+                rows.append((anchor, salts, k1, k2, first, piece, whole))
                 size += len(piece)
         if rows:
-            groups.append((rows[0][1], rows))
-        if groups:
-            yield solve(groups)
+            yield solve(rows)
         trim()
 
     dealt = pieces.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
     return dealt.mapInArrow(run, "kind int, k1 long, k2 long, a long, b long, window binary")
 
 
-def ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """k1, k2 and the covered byte ranges of every text that has some."""
+def covered(keyed: DataFrame, *more: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, plenty: int = PLENTY, chunk: int = CHUNK) -> DataFrame:
+    """`more` columns, text, and what is covered: its runs and the ranges that were found."""
     spark = keyed.sparkSession
-    rows = _anchors(keyed, length, gram)
-    path = fresh_path(spark, "anchors")
-    rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").write.parquet(path)
+    path = fresh_path(spark, "runs")
+    _runs(keyed, length, gram).write.parquet(path)
+    rows = spark.read.parquet(path)
+    path = fresh_path(spark, "repeating")
+    _repeating(rows, length, hot, plenty).write.parquet(path)
     counts = spark.read.parquet(path)
-    pieces = _contexts(keyed, rows.join(counts, "anchor"), length, hot)
-    out = _searched(pieces, length, hot, chunk)
-    if counts.where(F.col("n") > hot).limit(1).count():
-        # The windows of hot anchors are counted over all tasks: kept as a table, as both parts read it.
-        out.write.parquet(path := fresh_path(spark, "windows"))
-        out = spark.read.parquet(path)
-        windows = out.where("kind = 1")
-        again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-        more = windows.where("b = 1").join(again, "window").select("k1", "k2", "a", (F.col("a") + length).alias("b"))
-        out = out.where("kind = 0").select("k1", "k2", "a", "b").unionByName(more)
+    # `more` is carried along, unused, so that both readers of the texts share one exchange.
+    both = keyed.join(_per_text(rows, counts), ["k1", "k2"], "left").select("k1", "k2", "text", "runs", *more)
+    out = _searched(_pieces(both, length), length, chunk)
+    if counts.where("salts > 1").limit(1).count():
+        # The windows of anchors dealt over several tasks are counted over all of them.  Ranges have a
+        # key of their own there.
+        here = F.count(F.lit(1)).over(Window.partitionBy("window"))
+        out = out.withColumn("n", here).where("kind = 0 OR (b = 1 AND n > 1)").withColumn("b", F.expr(f"CASE WHEN kind = 0 THEN b ELSE a + {length} END"))
     else:
         out = out.where("kind = 0")
-    return out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return both.join(spans, ["k1", "k2"], "left").select(*more, "text", "runs", "spans")
+
+
+def _gone(own: list[dict] | None, spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Maximal covered ranges of one text."""
+    whole = [(r["at"] >> 21, (r["at"] >> 21) + (r["at"] & (_LONGEST - 1)) + length) for r in own or [] if r["whole"]]
+    return merged(whole + [(s["a"], s["b"]) for s in spans or []])
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -378,47 +408,43 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def digest(docs: DataFrame, **options: int) -> DataFrame:
-    keyed = _keyed(docs)
-    found = ranges(keyed, **options)
+def digest(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
+    both = covered(_keyed(docs), "k1", length=length, **options)
     null = -(2**63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, own, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
-                gone = merged([(s["a"], s["b"]) for s in spans or []])
+                gone = _gone(own, spans, length)
                 out.append((None if doc_id == null else doc_id, len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_cut(raw, gone)).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), zip(*out, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)})
 
-    both = keyed.join(found, ["k1", "k2"], "left").select("k1", "text", "spans")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, **options: int) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
     """All columns; covered bytes leave the text, and halves of characters at the cuts with them.
 
     A null text stays null; n_chars, where there is such a column, follows the text.
     """
     cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"]).alias("_row"), F.col("text").isNull().alias("_null"), "doc_id", "text")
-    keyed = _keyed(packed, "_row", "_null")
-    found = ranges(keyed.select("k1", "k2", "text"), **options)
+    row = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in cols if c != "text"])
+    both = covered(_keyed(docs.select(row.alias("_row"), "doc_id", "text"), "_row"), "_row", length=length, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                gone = merged([(s["a"], s["b"]) for s in spans or []])
+            for text, own, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                gone = _gone(own, spans, length)
                 new.append(_cut(text.encode(), gone).decode("utf-8", "ignore") if gone else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=["_row", "_text"])
 
-    both = keyed.join(found, ["k1", "k2"], "left").select(F.struct("_row", "_null").alias("_row"), "text", "spans")
     done = both.mapInArrow(run, f"_row {both.schema['_row'].dataType.simpleString()}, _text string")
     text = F.when(~F.col("_row._null"), F.col("_text"))
-    return done.select(*[(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_row._row.`{c}`")).alias(c) for c in cols])
+    return done.select(*[(text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in cols])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
