@@ -473,6 +473,55 @@ def test_near_duplicates_of_any_length(documents):
     assert {r.doc_id: r.class_id for r in neardup.classes(both).collect()} == label
 
 
+def linked_by_shared_shingles(rows):
+    """Classes by exact similarity of every two texts that share a shingle."""
+    holders, label = {}, {r.doc_id: r.doc_id for r in rows}
+    items = {r.doc_id: Counter(shingles_of(r.text or "")) for r in rows}
+    for k, c in items.items():
+        for s in c:
+            holders.setdefault(s, []).append(k)
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for k, c in items.items():
+        for j in {j for s in c for j in holders[s] if j < k}:
+            a, b = find(k), find(j)
+            if a != b:
+                d = items[j]
+                both = c.keys() & d.keys()
+                plain = len(both) / (len(c) + len(d) - len(both))
+                na, nb = c.total(), d.total()
+                if plain >= 0.8 or sum(min(c[s] / na, d[s] / nb) for s in both) >= 0.8 and brute_similarity(list(c.elements()), list(d.elements()))[0] >= 0.8:
+                    label[max(a, b)] = min(a, b)
+    return {k: find(k) for k in items}
+
+
+def shingles_of(text):
+    w = text.split()
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+
+
+def test_near_duplicates_recall_on_a_thousand_documents(spark, sf):
+    from pathlib import Path
+
+    docs = spark.read.parquet(f"{Path(sf).parent}/sf0.01/documents.parquet")
+    want = linked_by_shared_shingles(docs.select("doc_id", "text").collect())
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
+
+
+def test_near_duplicates_that_share_an_id(spark):
+    """Rows of one id with unrelated texts are classed by their texts, and none of them is lost."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, b), (5, "c d e f g h")], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(df).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (7, 5)} and neardup.classes(df).count() == 6
+    assert sorted(r.text for r in neardup.distinct(df).collect()) == sorted([a, b, "c d e f g h"])
+
+
 def test_near_duplicates_odd(odd, empty):
     out = neardup.classes(odd)
     assert out.count() == odd.count() and neardup.classes(empty).count() == 0

@@ -9,17 +9,20 @@ more as a set, each shingle with weight 1.
 
 A bucket's members first meet its two leaders only, so a bucket of n texts gives 2n candidates.
 Then all texts of buckets that still hold more than one class meet again by the rarest of their
-shingles (a prefix filter), which misses no pair at the threshold.  Equal texts are joined first by
-their hash.
+shingles (a prefix filter), which misses no pair at the threshold: a text meets the classes, not the
+texts, that it can't be told apart from, and is then compared with all their members, in blocks of
+bounded size.  Equal texts are joined first by their hash and go through all this once.
 
 Two texts are linked if their probability Jaccard similarity, or the Jaccard similarity of their
 sets of shingles, is at least THRESHOLD.  A class is a connected component; its id is its least
-doc_id.
+doc_id.  Shingles are compared by 32-bit hashes in the verification: a false agreement adds one
+shared shingle, with a chance of the product of both texts' shingles over 2^32.
 
 Defined results: a null text counts as empty; texts of fewer than five words are one shingle of all
-their words; empty texts are one class; rows that share an id share a class; a null id is treated as
-the least number and comes back as null; an empty table gives an empty result; extra columns are
-ignored (kept by `distinct`).
+their words; empty texts are one class; repeated rows share a class; rows that share an id but not
+their text are classed by their texts (where two classes have the same least id, that id stands for
+both, and `distinct` keeps a row of each); a null id is treated as the least number and comes back as
+null; an empty table gives an empty result; extra columns are ignored (kept by `distinct`).
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BANDS, ROWS, THRESHOLD = 24, 6, 0.8
 #: Shingles worked on at once.
 GROUP = 200_000
 NULL_ID = -(2**63)
+#: Pairs of one leader, rows of one text, and texts or bytes of one class that meet in one piece.
+MOST, SPLIT, BLOCK, BLOCK_BYTES = 2000, 64, 64, 1 << 17
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -137,50 +142,79 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (v, np.ones(len(v))) if not data[0] else (v[: len(v) // 2], v[len(v) // 2 :].astype(float))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """id, the text and two hashes of it."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), text.alias("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), *more)
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """(t1, t2, salt, rep, node) of each distinct text: its least id, and a number of its own.
+
+    The node is that id; of several texts with one least id, all but one have a hash instead.  The
+    copies of a text are dealt over SPLIT salts: a row for each of those in use.
+    """
+    parts = keyed.select("id", "t1", "t2", _salt()).groupBy("t1", "t2", "salt").agg(F.min("id").alias("least"))
+    whole = parts.groupBy("t1", "t2").agg(F.min("least").alias("rep"))
+    first = whole.groupBy("rep").agg(F.min("t1").alias("f"))
+    node = F.when(F.col("t1") == F.col("f"), F.col("rep")).otherwise(F.xxhash64("rep", "t1", "t2"))
+    return parts.drop("least").join(whole.join(first, "rep").select("t1", "t2", "rep", node.alias("node")), ["t1", "t2"])
+
+
+def _salt():
+    return F.pmod(F.xxhash64("id"), F.lit(SPLIT)).cast("int").alias("salt")
+
+
+def _of_nodes(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """(node, column), once for each node: from the rows that have its least id and its text."""
+    key = ["id", "t1", "t2"]
+    both = rows.join(nodes.select(F.col("rep").alias("id"), "t1", "t2", "node"), key)
+    return both.groupBy(*key).agg(F.first("node").alias("node"), F.first(column).alias(column)).select("node", column)
 
 
 def _banded(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = all_keys(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+                keys = all_keys(b.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["id", "t1", "t2", "keys"])
 
-    return keyed.select("id", "text").mapInArrow(run, "id long, keys array<long>")
+    return keyed.select("id", "t1", "t2", "text").mapInArrow(run, "id long, t1 long, t2 long, keys array<long>")
 
 
-def _contents(keyed: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingles of the texts with these (distinct) ids."""
+def _contents(texts: DataFrame) -> DataFrame:
+    """Shingles of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(weighted(t)) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "sh"])
 
-    return keyed.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, sh binary")
+    return texts.mapInArrow(run, "id long, sh binary")
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(key, id) -> distinct pairs a < b of each bucket's two leaders with its members."""
+    """(key, id) -> distinct pairs (a, l): each bucket's members with its two leaders."""
     led = members.groupBy("key").agg(F.min("id").alias("l1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l2"), F.max("id").alias("top")).where("l1 < top")
     both = members.join(led.select("key", "l1", F.col("l2.id").alias("l2")), "key")
     pair = F.explode(F.array(F.col("l1"), F.col("l2"))).alias("l")
-    both = both.select("id", pair).where("id <> l")
-    return both.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
+    return both.select(F.col("id").alias("a"), pair).where("a <> l").distinct()
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, l) that are links, as (a, b).  A member is in few pairs; a leader's pairs are
+    dealt over as many tasks as they need."""
+    many = pairs.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("salts")).where("salts > 1")
+    dealt = pairs.join(many, "l", "left").select("a", "l", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("salts"))).cast("int").alias("salt"))
     one = contents.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    two = contents.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
+    two = contents.join(many, contents["id"] == many["l"], "left").select("id", "sh", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    two = two.select(F.col("id").alias("l"), F.col("sh").alias("sl"), "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [max(similarity(_unpacked(x), _unpacked(y))) >= threshold - 1e-12 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return dealt.join(one, "a").join(two, ["l", "salt"]).select("a", "l", "sa", "sl").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,20 +261,19 @@ def _prefixes(items: DataFrame, threshold: float) -> DataFrame:
             if got:
                 size = [len(h) for h, _ in got]
                 row = np.repeat(np.arange(len(got)), size)
-                cols = [b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row))]
                 h = np.concatenate([h for h, _ in got]).astype(np.int64)
                 w = np.concatenate([w / w.sum() for _, w in got])
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(h), pa.array(w), pa.array(np.repeat([1 / n for n in size], size))], names=["id", "t", "h", "w", "u"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h), pa.array(w), pa.array(np.repeat([1 / n for n in size], size))], names=["id", "h", "w", "u"])
 
-    each = items.select("id", "sh", F.xxhash64("sh").alias("t")).mapInArrow(run, "id long, t long, h long, w double, u double")
+    each = items.select("id", "sh").mapInArrow(run, "id long, h long, w double, u double")
     # Shingles of one text make no pair; they are the start of its prefix, before all others.
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    text = Window.partitionBy("id", "t")
+    text = Window.partitionBy("id")
     order = text.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = [(1 - F.sum(c).over(text) + F.sum(c).over(order) - F.col(c)).alias(c) for c in ("w", "u")]
-    odds = [F.min(F.col(c) / (1 - F.col(c))).alias(c) for c in ("w", "u")]
+    odds = [(F.col(c) / (1 - F.col(c))).alias(c) for c in ("w", "u")]
     first = each.join(often, "h").select("id", "h", "n", *ahead).where(F.least("w", "u") <= 1 - threshold + 1e-6)
-    first = cut(first.where("w < 1 AND u < 1").groupBy("id", "h", "n").agg(*odds))
+    first = cut(first.where("w < 1 AND u < 1").select("id", "h", "n", *odds))
     # Of shingles that lie in the prefixes of just the same texts, the first is enough.
     who = first.groupBy("h", "n").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("i1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("i2")).where("k > 1")
     one = who.groupBy("k", "i1", "i2").agg(F.min(F.struct("n", "h"))["h"].alias("h")).select("h")
@@ -248,47 +281,113 @@ def _prefixes(items: DataFrame, threshold: float) -> DataFrame:
 
 
 def _between(first: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Candidates between classes: no pair at the threshold is left out."""
+    """(x, label): texts and the other classes that they can have links to.  None is left out."""
     named = first.join(labels, "id")
-    # Of two classes at least one is not the shingle's largest, so a large class never meets itself.
-    top = named.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "top")
-    met = named.join(top, "h")
-    x = met.where("label <> top").select("h", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("w").alias("wx"), F.col("u").alias("ux"))
-    y = met.select("h", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("w").alias("wy"), F.col("u").alias("uy"), "top")
     able = F.least(F.col("wx") + F.col("wy"), F.col("ux") + F.col("uy")) <= 1 / threshold - 1 + 1e-5
-    return x.join(y, "h").where("lx <> ly AND (ly = top OR x < y)").where(able).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # A class counts with its members' least odds.  Of two classes at least one is not the
+    # shingle's largest, so a large class never meets itself.
+    kinds = named.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("wy"), F.min("u").alias("uy"))
+    top = kinds.groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "top")
+    x = named.join(top, "h").where("label <> top").select("h", "top", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("w").alias("wx"), F.col("u").alias("ux"))
+    y = kinds.select("h", "label", "wy", "uy")
+    return x.join(y, "h").where("lx <> label AND (label = top OR lx < label)").where(able).select("x", "label").distinct()
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(label, id, sh) -> (label, name): arrays of about BLOCK texts or BLOCK_BYTES bytes."""
+    size = rows.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("sh")) / BLOCK_BYTES)).alias("blocks"))
+    dealt = rows.join(size, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return dealt.groupBy("label", "block").agg(F.collect_list(F.struct("id", "sh")).alias(name)).drop("block")
+
+
+def _links_of(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links of two blocks of texts; of those between one text and a block, one is enough."""
+    other = [_unpacked(y["sh"]) for y in ys]
+    size = np.array([len(h) for h, _ in other])
+    owner = np.repeat(np.arange(len(other)), size)
+    h, share = np.concatenate([h for h, _ in other]), np.concatenate([w / w.sum() for _, w in other])
+    by = np.argsort(h, kind="stable")
+    h, share, owner = h[by], share[by], owner[by]
+    out = []
+    for x in xs:
+        a, w = _unpacked(x["sh"])
+        at = np.minimum(np.searchsorted(a, h), len(a) - 1)
+        hit = np.flatnonzero(a[at] == h)
+        both = np.bincount(owner[hit], minlength=len(other))
+        plain = both / (len(a) + size - both)
+        # The probability Jaccard similarity is at most the sum of the lesser shares.
+        lesser = np.bincount(owner[hit], weights=np.minimum(share[hit], (w / w.sum())[at[hit]]), minlength=len(other))
+        for k in np.flatnonzero((plain >= threshold - 1e-12) | (lesser >= threshold - 1e-9)):
+            if plain[k] >= threshold - 1e-12 or similarity((a, w), other[k])[0] >= threshold - 1e-12:
+                out.append((x["id"], ys[k]["id"]))
+                break
+    return out
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id of every row."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
-    named = keyed.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
-    reps = named.groupBy("t1", "t2").agg(F.min("id").alias("rep"))
+def _met(found: DataFrame, labels: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the texts x and the classes of `found`."""
+    ours = found.join(contents.withColumnRenamed("id", "x"), "x").select("label", F.col("x").alias("id"), "sh")
+    theirs = labels.join(found.select("label").distinct(), "label", "left_semi").join(contents, "id").select("label", "id", "sh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                got = _links_of(b.column(0)[i].as_py(), b.column(1)[i].as_py(), threshold)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["a", "b"])
+
+    return _blocks(ours, "xs").join(_blocks(theirs, "ys"), "label").select("xs", "ys").mapInArrow(run, "a long, b long")
+
+
+def _classed(keyed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (see `_texts`), and (node, label) of those that have links."""
+    spark = keyed.sparkSession
+    path = fresh_path(spark, "texts")
+    _texts(keyed).write.parquet(path)
+    texts = spark.read.parquet(path)
+    # A node's own row is that of its least id's salt: one row for each distinct text.
+    nodes = texts.where(F.col("salt") == F.pmod(F.xxhash64("rep"), F.lit(SPLIT))).select("t1", "t2", "rep", "node")
     path = fresh_path(spark, "bands")
-    _banded(keyed).join(reps.select(F.col("rep").alias("id")).distinct(), "id").select("id", "keys").write.parquet(path)
+    _of_nodes(_banded(keyed), nodes, "keys").select(F.col("node").alias("id"), "keys").write.parquet(path)
     bands = spark.read.parquet(path)
     pairs = cut(_stars(bands.select("id", F.explode("keys").alias("key"))))
-    links = cut(_verified(pairs, _contents(keyed, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), threshold))
+    # The contents of all texts that share a bucket, read by both rounds of verification.
+    ids = pairs.select(F.explode(F.array("a", "l")).alias("node")).distinct()
+    path = fresh_path(spark, "contents")
+    _contents(_of_nodes(keyed, nodes.join(ids, "node", "left_semi"), "text")).write.parquet(path)
+    contents = spark.read.parquet(path)
+    links = cut(_verified(pairs, contents, threshold))
     labels = components(links)
     rest = cut(_unlinked(bands, labels))
-    path = fresh_path(spark, "unlinked")
-    _contents(keyed, rest.select("id")).write.parquet(path)
-    items = spark.read.parquet(path)
-    more = cut(_verified(_between(_prefixes(items, threshold), rest, threshold), items, threshold))
+    more = _between(_prefixes(contents.join(rest.select("id"), "id", "left_semi"), threshold), rest, threshold)
+    more = cut(_met(cut(more), rest, contents, threshold))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    rep = named.join(reps, ["t1", "t2"]).select("id", "rep")
-    out = rep.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class"))
+    return texts, labels.withColumnRenamed("id", "node")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id of every row."""
+    keyed = _keyed(docs)
+    texts, labels = _classed(keyed, threshold)
+    named = texts.join(labels, "node", "left").select("t1", "t2", "salt", "rep", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("rep").alias("class"))
+    named = named.join(least, "label").select("t1", "t2", "salt", "class")
+    out = keyed.select("id", "t1", "t2", _salt()).join(named, ["t1", "t2", "salt"])
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(null("id").alias("doc_id"), null("class").alias("class_id"))
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of one document of each class: that with the least id; of repeated rows, one."""
-    kept = classes(docs, threshold).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(kept, "_id", "left_semi")
-    return rows.dropDuplicates(["_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = _keyed(docs.select("doc_id", "text", row.alias("_row")), "_row")
+    texts, labels = _classed(keyed, threshold)
+    named = texts.join(labels, "node", "left").select("t1", "t2", "rep", F.coalesce("label", "node").alias("label"))
+    # Of several texts with the class's least id, the one with the least hash.
+    kept = named.groupBy("label").agg(F.min(F.struct("rep", "t1", "t2")).alias("k")).select("k.*").withColumnRenamed("rep", "id")
+    rows = keyed.join(kept, ["id", "t1", "t2"], "left_semi").dropDuplicates(["id", "t1", "t2"])
+    return rows.select("_row.*")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
