@@ -151,7 +151,7 @@ _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = with_next(docs, 4 * parts)
+    dealt, buckets = with_next(docs, 4 * parts)
     arrow = pa.schema(_FIELDS)
 
     def row(doc_id, text: str, print_: bytes, head: str, next_print: bytes) -> tuple:
@@ -174,8 +174,10 @@ def compare(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=arrow)
 
-    # Every bucket ends with an extra row, so several buckets may follow each other in a partition.
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    # Every bucket ends with an extra row, so several buckets may follow each other in a partition;
+    # buckets are of about equal size, and so are partitions of as many buckets each.
+    each = -(-max(1, buckets) // parts)
+    dealt = dealt.repartitionById(parts, (F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
