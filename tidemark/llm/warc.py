@@ -70,12 +70,14 @@ def parse(data: bytes) -> dict:
 def write(pages: DataFrame, path: str, least: int = LEAST) -> int:
     """Archives under path, one for each task; returns the number of records.
 
-    Only digests are grouped.  The join that brings the first capture of a digest to its rows is a
-    plain equi-join, whose hot digests adaptive execution splits.
+    Only digests are grouped, and only (id, digest) meets a digest's first capture; bodies are
+    joined by id and digest, so the copies of one body are dealt like any others.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    found = rows.select("page_id", "digest").join(first, "digest").groupBy("page_id", "digest").agg(F.min("first").alias("first"))
+    found = found.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    rows = rows.join(found, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
