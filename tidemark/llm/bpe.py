@@ -1,11 +1,13 @@
 """Byte-pair encoding and decoding with exact results on very long texts.
 
-A text is cut where its pre-tokenizer must cut: between a character that is not white space and an
-ASCII blank.  Such segments repeat, so their ids are kept in a bounded table per Python worker.
-A segment longer than LEAF has no cut (long unsplit text): its halves are encoded separately, down
-to leaves, and joined pairwise: a growing window around the join is encoded again until it agrees
-with both sides.  Agreement at a shared token proves the join: in byte-pair encoding, a sequence of
-tokens is the encoding of its text exactly if each neighbouring pair is.
+A text is cut at its special tokens, and where its pre-tokenizer must cut: between a character that
+is not white space and one that is.  Such segments repeat, so their ids are kept in a bounded table
+per Python worker.  A segment longer than LEAF has no cut (long unsplit text): its halves are encoded
+separately, down to leaves, and joined pairwise: a growing window around the join is encoded again
+until it agrees with both sides.  Agreement at a shared token proves the join: in byte-pair encoding,
+a sequence of tokens is the encoding of its text exactly if each neighbouring pair is.  All leaves of
+a segment, and all windows of one level of joins, are one batch each, which the library's threads
+encode in parallel where it is long enough to pay for them.
 
 Defined results: null texts count as empty (no ids); repeated rows give repeated results; an empty
 table gives an empty result; extra columns are ignored.
@@ -21,16 +23,19 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import claim, map_rows, table, texts, tokenizer
+from .common import claim, map_rows, table, texts, threads, tokenizer
 
 LEAF = 2048
 #: Segments kept per worker; the table is emptied when full, which bounds its memory.
 KEPT = 400_000
 #: Segments encoded as one text when they are learned.
 CHAIN = 256
-_SEGMENT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
-#: White space other than the four above may stand beside them in one pre-token: no cuts then.
-_ODD_SPACE = re.compile(r"[^\S \n\t\r]")
+#: Strings in a batch from which its encoding is spread over threads.
+THREADED = 64
+#: Unicode's white space, as the pre-tokenizer's \\s has it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+\\Z")
+_OUTSIDE = re.compile(f"^[{_SPACE}].*[^{_SPACE}]$", re.S)
 
 
 @functools.lru_cache(maxsize=4)
@@ -44,38 +49,49 @@ def token_bytes(path: str) -> list[bytes]:
     return [special[i] if i in special else bytes(to_byte[c] for c in tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())]
 
 
-def _window(text: bytes, left: Sequence[int], right: Sequence[int], at: int, size: Sequence[bytes], encode: Callable[[str], list[int]]) -> list[int]:
-    """Join the ids left of byte `at` and those right of it."""
-    n = 4
-    while True:
-        # The window's edges must be character boundaries; they move outward to the next such token edge.
-        i, start = len(left), at
-        while i and (len(left) - i < n or (text[start] & 0xC0) == 0x80):
-            i -= 1
-            start -= len(size[left[i]])
-        j, end = 0, at
-        while j < len(right) and (j < n or (end < len(text) and (text[end] & 0xC0) == 0x80)):
-            end += len(size[right[j]])
-            j += 1
-        new = encode(text[start:end].decode())
-        ok_left = i == 0 or (len(new) > 1 and new[0] == left[i])
-        ok_right = j == len(right) or (len(new) > 1 and new[-1] == right[j - 1])
-        if ok_left and ok_right:
-            return [*left[:i], *new, *right[j:]]
-        n *= 2
+def _edges(text: bytes, left: Sequence[int], right: Sequence[int], at: int, size: Sequence[bytes], n: int) -> tuple[int, int, int, int]:
+    """Tokens i of the left and j of the right side, and bytes start and end, that bound a window of
+    about n tokens on each side of byte `at`; its edges are character boundaries."""
+    i, start = len(left), at
+    while i and (len(left) - i < n or (text[start] & 0xC0) == 0x80):
+        i -= 1
+        start -= len(size[left[i]])
+    j, end = 0, at
+    while j < len(right) and (j < n or (end < len(text) and (text[end] & 0xC0) == 0x80)):
+        end += len(size[right[j]])
+        j += 1
+    return i, start, j, end
+
+
+def _join(pairs: list[tuple[bytes, list[int], list[int], int]], size: Sequence[bytes], encode_batch: Callable[[list[str]], list[list[int]]]) -> list[list[int]]:
+    """Joins (text, ids left of byte `at`, ids right of it, at); the windows that still disagree grow
+    and are encoded again, all in one batch."""
+    out: list[list[int]] = [[] for _ in pairs]
+    todo, n = list(range(len(pairs))), 4
+    while todo:
+        edges = [_edges(*pairs[k], size, n) for k in todo]
+        got = encode_batch([pairs[k][0][e[1] : e[3]].decode() for k, e in zip(todo, edges, strict=True)])
+        later = []
+        for k, (i, _, j, _), new in zip(todo, edges, got, strict=True):
+            _, left, right, _ = pairs[k]
+            ok_left = i == 0 or (len(new) > 1 and new[0] == left[i])
+            ok_right = j == len(right) or (len(new) > 1 and new[-1] == right[j - 1])
+            if ok_left and ok_right:
+                out[k] = [*left[:i], *new, *right[j:]]
+            else:
+                later.append(k)
+        todo, n = later, 2 * n
+    return out
 
 
 def encode_tree(text: str, encode_batch: Callable[[list[str]], list[list[int]]], size: Sequence[bytes], leaf: int = LEAF) -> list[int]:
-    """Ids of one unsplit text: leaves in one batch, then pairwise joins."""
+    """Ids of one unsplit text: leaves in one batch, then the joins of each level in one."""
     cuts = [text[i : i + leaf] for i in range(0, len(text), leaf)]
     parts = list(zip([c.encode() for c in cuts], encode_batch(cuts), strict=True))
-    one = lambda s: encode_batch([s])[0]
     while len(parts) > 1:
-        joined = []
-        for k in range(0, len(parts) - 1, 2):
-            (a, x), (b, y) = parts[k], parts[k + 1]
-            joined.append((a + b, _window(a + b, x, y, len(a), size, one)))
-        parts = joined + parts[len(joined) * 2 :]
+        pairs = [(a + b, x, y, len(a)) for (a, x), (b, y) in zip(parts[::2], parts[1::2], strict=False)]
+        rest = parts[2 * len(pairs) :]
+        parts = [(p[0], ids) for p, ids in zip(pairs, _join(pairs, size, encode_batch), strict=True)] + rest
     return parts[0][1]
 
 
@@ -84,27 +100,31 @@ class Encoder:
 
     def __init__(self, path: str, leaf: int = LEAF):
         self.tok, self.size, self.leaf = tokenizer(path), token_bytes(path), leaf
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = self.tok.get_added_tokens_decoder()
+        # Special tokens that take white space beside them, or parts of words, are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special.values())
+        self.special = {t.content: [i] for i, t in special.items()}
+        longest = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(longest) + ")") if longest else None
         self.lengths = np.array([len(b) for b in self.size])
         self.kept: dict[str, list[int]] = {}
 
     def batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        with threads(len(texts) >= THREADED and sum(map(len, texts)) >= THREADED * LEAF // 2):
+            return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> list[int]:
-        """Ids of text without cuts by segments."""
-        if len(text) <= self.leaf or any(s in text for s in self.special) or _ODD_SPACE.search(text):
-            return self.batch([text])[0]
-        return encode_tree(text, self.batch, self.size, self.leaf)
+        """Ids of text without cuts."""
+        return self.batch([text])[0] if len(text) <= self.leaf else encode_tree(text, self.batch, self.size, self.leaf)
 
     def learn(self, segments: set[str]) -> None:
         new = [s for s in segments if s not in self.kept]
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
             new = list(segments)
-        # Segments that begin with a blank and end without one stay separate when written one after
+        # Segments that begin with white space and end without it stay separate when written one after
         # the other, so many are encoded as one text and told apart by their lengths in bytes.
-        chain = [s for s in new if len(s) <= 64 and s[0] in " \n\t\r" and s[-1] not in " \n\t\r"]
+        chain = [s for s in new if len(s) <= 64 and _OUTSIDE.match(s)]
         groups = [chain[i : i + CHAIN] for i in range(0, len(chain), CHAIN)]
         for group, ids in zip(groups, self.batch(["".join(g) for g in groups]), strict=True):
             ends = np.cumsum(self.lengths[ids])
@@ -123,8 +143,16 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         """Equal to the library's encode(text, add_special_tokens=False).ids."""
-        if not text or _ODD_SPACE.search(text):
-            return self.whole(text) if text else []
+        if self.cut is None or not self.cut.search(text):
+            return self._ids(text)
+        if not self.plain:
+            return self.batch([text])[0]
+        out: list[int] = []
+        for part in self.cut.split(text):
+            out += self.special[part] if part in self.special else self._ids(part)
+        return out
+
+    def _ids(self, text: str) -> list[int]:
         claim(self.kept)
         parts = _SEGMENT.findall(text)
         self.learn(set(parts))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -101,11 +103,19 @@ def trim() -> None:
         free(0)
 
 
+@contextlib.contextmanager
+def threads(on: bool) -> Iterator[None]:
+    """Lets the tokenizer library use its threads; otherwise a Python worker keeps to its own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+    try:
+        yield
+    finally:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str):
     """One tokenizer per Python worker; a bare file name is looked up among the public ones."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
