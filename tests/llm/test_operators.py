@@ -125,7 +125,7 @@ def test_license_odd(odd, empty, documents):
 
 
 # --- 3 ----------------------------------------------------------------------------------------
-PIECES = ["a", "b", "ab", "the", "é", "漢字", "'s", "!!'", "'t", "  ", "\n", "1", "23", "😀", " ", "_", "-", "\t", "<|endoftext|>", "\xa0", "ing", "\x1c", "　"]
+PIECES = ["a", "b", "ab", "the", "é", "漢字", "'s", "!!'", "'t", "  ", "\n", "1", "23", "😀", " ", "_", "-", "\t", "<|endoftext|>", "\xa0", "ing", "\x1c", "　", "\x0b", "\x85", "\u2028", "\ufeff", "x" * 60]
 
 
 @pytest.fixture(scope="module")
@@ -149,6 +149,16 @@ def test_bpe_long_unsplit(small_leaves, unit):
         assert small_leaves.ids(text) == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_long_texts_with_odd_space_and_special_tokens(small_leaves):
+    """Long unsplit text beside unusual white space and special tokens; batches long enough for threads."""
+    r = random.Random(6)
+    for unit in ("漢字", "ab-_", "é1"):
+        text = "\u3000".join(unit * r.randint(200, 3000) for _ in range(4)) + "<|endoftext|> \xa0" + unit * 2000 + "\x0b"
+        assert small_leaves.ids(text) == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    text = "".join(r.choices("abcdefghij", k=400_000))
+    assert bpe.encoder("byte_bpe_50k.json").ids(text) == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_digest(documents, odd, empty):
     tok = tokenizer("byte_bpe_50k.json")
     got = as_dict(bpe.digest(documents))
@@ -156,7 +166,8 @@ def test_bpe_digest(documents, odd, empty):
         ids = tok.encode(r.text, add_special_tokens=False).ids
         assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
-    assert bpe.digest(odd).count() == odd.count() and bpe.digest(empty).count() == 0
+    want = [(str(r.doc_id), hashlib.sha256(",".join(map(str, tok.encode(r.text or "", add_special_tokens=False).ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect()]
+    assert sorted((str(r.doc_id), r.ids_sha256, r.decoded_sha256) for r in bpe.digest(odd).collect()) == sorted(want) and bpe.digest(empty).count() == 0
     assert bpe.encode_documents(odd).where("doc_id = 2").first().ids == []
 
 
@@ -592,15 +603,36 @@ def test_resample_keeps_samples():
     assert out[::2].tolist() == pcm.tolist() and out[1::2].tolist() == [5, 0, -10, 500, 253, 7]
 
 
-def test_media_digest(documents, odd, empty):
-    for r, d in zip(audio.store(documents, digest=True).orderBy("doc_id").collect(), documents.orderBy("doc_id").collect(), strict=True):
+def test_media_digest(spark, documents, odd, empty):
+    from tidemark.llm.common import fresh_path
+
+    def through(df):
+        return audio.digest(audio.stored_and_read(df, fresh_path(spark, "media")))
+
+    for r, d in zip(through(documents).orderBy("doc_id").collect(), documents.orderBy("doc_id").collect(), strict=True):
         p = audio.padded(d.text.encode())
         m = audio.wave(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(d.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest())
-    out = audio.store(odd, digest=True)
-    assert out.count() == odd.count() and audio.store(empty, digest=True).count() == 0
+        assert r.pcm_bytes == 4 * r.payload_bytes
+    out = through(odd)
+    texts = sorted((r.text or "").encode() for r in odd.collect())
+    assert sorted(r.payload_sha256 for r in out.collect()) == sorted(hashlib.sha256(audio.padded(t)).hexdigest() for t in texts) and through(empty).count() == 0
     assert out.where("doc_id in (1, 7)").select("feature", "media_sha256").distinct().count() == 1
-    assert len(audio.store(odd).where("doc_id = 3").first().pcm) == 64 * 2 * 2
+    clip = audio.store(odd).where("doc_id = 3").first()
+    pcm = audio.mulaw_table()[np.zeros(64, np.uint8)]
+    assert clip.pcm == np.repeat(pcm, 2).astype("<i2").tobytes() and clip.n_bytes == 0
+
+
+def test_feature_by_hand():
+    """Each part of the feature from its definition, sample by sample."""
+    payload = audio.padded(bytes(random.Random(8).randbytes(150)))
+    pcm = [int(audio.mulaw_table()[b]) for b in payload]
+    wide = [v for i, a in enumerate(pcm) for v in (a, (a + (pcm[i + 1] if i + 1 < len(pcm) else a)) // 2)]
+    clip = np.array(wide, "<i2").tobytes()
+    assert audio.resampled([b"\0" * 64, payload])[1] == clip
+    blocks = [slow_adpcm(payload[i : i + 64]) for i in range(0, len(payload), 64)]
+    want = [sum(v * v for v in pcm) // len(pcm), sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False)), zlib.crc32(clip), zlib.crc32(np.array([int(audio.alaw_table()[b]) for b in payload], "<i2").tobytes()), zlib.crc32(np.array(blocks, "<i2").tobytes())]
+    assert audio.features([b"\0" * 64, payload], audio.resampled([b"\0" * 64, payload]))[1] == ":".join(map(str, want))
 
 
 # --- 10 ---------------------------------------------------------------------------------------

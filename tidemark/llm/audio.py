@@ -2,7 +2,8 @@
 
 Each table is built from the codec's rule.  ADPCM is serial inside a block, so numpy steps through
 the samples of all blocks at once.  Payloads travel in a RIFF/WAVE container whose data chunk holds
-them unchanged.
+them unchanged.  Media and resampled PCM are columns of a table in the shared folder; features
+are computed from what is read back.
 
 Defined results: null texts count as empty; an empty text is 64 zero bytes; equal texts give equal
 values; repeated rows give repeated results; an empty table gives an empty result; extra columns
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import fresh_path, table, texts
 
 UNIT = 64
 RATE, TARGET_RATE = 8000, 16000
@@ -121,66 +122,75 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * (UNIT - len(data) if not data else -len(data) % UNIT)
 
 
-_FIELDS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
-
-
-def features(payloads: list[bytes]) -> tuple[list[str], list[bytes]]:
-    """Of read-back payloads: a feature string, and resampled PCM (16 bits, little-endian).
-
-    The feature: mean square and zero crossings of the mu-law reading, checksums of the resampled
-    PCM, of the A-law reading and of the payload read as ADPCM blocks.
-    """
+def features(payloads: list[bytes], clips: list[bytes]) -> list[str]:
+    """Of read-back payloads and their resampled PCM: mean square and zero crossings of the mu-law
+    reading, checksums of the PCM, of the A-law reading and of the payload read as ADPCM blocks."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     ends = np.cumsum([len(p) for p in payloads])
     starts = np.concatenate([[0], ends[:-1]])
     pcm, other = mulaw_table()[raw], alaw_table()[raw].astype("<i2")
-    wide = resample(pcm, ends)
     energy = np.add.reduceat(pcm.astype(np.int64) ** 2, starts) // (ends - starts)
     flips = np.zeros(len(raw), np.int64)
     flips[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
     flips[starts] = 0
     crossings = np.add.reduceat(flips, starts)
     blocks = decode_adpcm(raw.reshape(-1, UNIT)).astype("<i2")
-    up = TARGET_RATE // RATE
-    out, clips = [], []
-    for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        clip = wide[s * up : e * up].tobytes()
-        out.append(f"{energy[k]}:{crossings[k]}:{zlib.crc32(clip)}:{zlib.crc32(other[s:e].tobytes())}:{zlib.crc32(np.ascontiguousarray(blocks[s // UNIT : e // UNIT]).tobytes())}")
-        clips.append(clip)
-    return out, clips
+    sums = [(zlib.crc32(other[s:e].tobytes()), zlib.crc32(np.ascontiguousarray(blocks[s // UNIT : e // UNIT]).tobytes())) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [f"{energy[k]}:{crossings[k]}:{zlib.crc32(clip)}:{a}:{b}" for k, (clip, (a, b)) in enumerate(zip(clips, sums, strict=True))]
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """id, the media (WAVE, mu-law) and the resampled PCM of each text; or their digests."""
-    kinds = {id_col: "long"} | (_FIELDS if digest else {"media": "binary", "pcm": "binary", "feature": "string"})
-    schema = ", ".join(f"{k} {v}" for k, v in kinds.items())
+def resampled(payloads: list[bytes]) -> list[bytes]:
+    """The mu-law readings at the target rate, 16 bits, little-endian."""
+    up = TARGET_RATE // RATE
+    ends = np.cumsum([len(p) for p in payloads])
+    wide = resample(mulaw_table()[np.frombuffer(b"".join(payloads), np.uint8)], ends)
+    return [wide[(e - len(p)) * up : e * up].tobytes() for p, e in zip(payloads, ends.tolist(), strict=True)]
 
-    def batch(ids: list, data: list[bytes]) -> pa.RecordBatch:
-        media = [wave(padded(d)) for d in data]
-        back = [unwave(m)[2] for m in media]
-        feature, clips = features(back)
-        cols = {id_col: pa.array(ids, pa.int64())}
-        if digest:
-            cols |= {"n_bytes": pa.array([len(d) for d in data], pa.int64()), "payload_bytes": pa.array([len(p) for p in back], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in back]), "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), "media_bytes": pa.array([len(m) for m in media], pa.int64()), "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]), "feature": pa.array(feature)}
-        else:
-            cols |= {"media": pa.array(media, pa.binary()), "pcm": pa.array(clips, pa.binary()), "feature": pa.array(feature)}
-        return pa.RecordBatch.from_pydict(cols)
+
+def _batched(df: DataFrame, size: int, fn, schema: str) -> DataFrame:
+    """fn on lists of the columns' values, in batches of about STEP_BYTES of the column `size`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, data, size = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                data.append(t.encode())
-                size += len(data[-1])
-                if size > STEP_BYTES:
-                    yield batch(ids, data)
-                    ids, data, size = [], [], 0
-            if ids:
-                yield batch(ids, data)
+            cols = [c.to_pylist() for c in b.columns]
+            lengths = np.cumsum([len(x) for x in cols[size]]) // STEP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    yield pa.RecordBatch.from_pydict(fn(*(c[i:j] for c in cols)))
+
+    return df.mapInArrow(run, schema)
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, bytes of the text, the media (WAVE, mu-law) and the resampled PCM of each text."""
+
+    def make(ids: list, values: list[str]) -> dict[str, pa.Array]:
+        data = [t.encode() for t in values]
+        payloads = [padded(d) for d in data]
+        return {id_col: pa.array(ids, pa.int64()), "n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array([wave(p) for p in payloads], pa.binary()), "pcm": pa.array(resampled(payloads), pa.binary())}
+
+    return _batched(texts(docs, id_col, text=text), 1, make, f"{id_col} long, n_bytes long, media binary, pcm binary")
+
+
+def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests and features of stored media and PCM, from the bytes that are read back."""
+
+    def make(ids: list, n: list[int], media: list[bytes], pcm: list[bytes]) -> dict[str, pa.Array]:
+        back = [unwave(m)[2] for m in media]
+        long = lambda x: pa.array(x, pa.int64())
+        hashes = lambda x: pa.array([hashlib.sha256(y).hexdigest() for y in x])
+        return {id_col: long(ids), "n_bytes": long(n), "payload_bytes": long([len(p) for p in back]), "payload_sha256": hashes(back), "tail_crc32": long([zlib.crc32(p[-64:]) for p in back]), "media_bytes": long([len(m) for m in media]), "media_sha256": hashes(media), "feature": pa.array(features(back, pcm)), "pcm_bytes": long([len(p) for p in pcm])}
+
+    schema = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long"
+    return _batched(stored.select(id_col, "n_bytes", "media", "pcm"), 3, make, schema)
+
 
-    return texts(docs, id_col, text=text).mapInArrow(run, schema)
+def stored_and_read(docs: DataFrame, path: str) -> DataFrame:
+    """Media and PCM as columns of a table, read again."""
+    store(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(table(spark, sf_dir, "documents"), digest=True)
+    return digest(stored_and_read(table(spark, sf_dir, "documents"), fresh_path(spark, "media")))
