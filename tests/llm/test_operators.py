@@ -57,12 +57,47 @@ def test_pii_spans(spark, documents):
             assert kind != "secret" or re.match("(?i)(token|secret|api|pass)", r.text[int(a) : int(b)])
 
 
+def test_pii_columns(odd):
+    """The contract's columns first, in its order."""
+    assert pii.digest(odd).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
 def test_pii_reliabilities():
-    """EM gives good labelers more weight, and unlike ones a negative one."""
-    counts = {("ssn", "11110"): 50, ("ssn", "11100"): 50, ("ssn", "10001"): 80, ("ssn", "10000"): 20}
-    bias, w = pii.fit(counts)["ssn"]
-    assert w[1] > 0 and w[2] > 0 and w[4] < 0
-    assert bias + w[0] + w[1] + w[2] + w[3] > 0 > bias + w[0] + w[4]
+    """EM trusts labelers that agree more than one that goes against them, and silence says nothing."""
+    right, post = pii.reliabilities({"111--": 40, "1111-": 40, "10--0": 60, "101--": 5})
+    assert right[4] > 0.9 and right[1] > 0.6 and post["1111-"] > 0.9 > 0.1 > post["10--0"]
+    silent, _ = pii.reliabilities({"1----": 50})
+    assert silent[2:] == pytest.approx([pii.PRIOR[n] for n in ("gazetteer", "cue", "against")])
+
+
+def test_pii_classifier_learns_from_the_span():
+    """Spans of one shape are true, of another false, where votes alone are split."""
+    counts = {("ssn", "1111-", "1211"): 60, ("ssn", "11---", "1211"): 30, ("ssn", "10--0", "2122"): 60, ("ssn", "11---", "2122"): 10}
+    w = pii.fit(counts)["ssn"]
+    score = lambda v, f: float(w @ pii._inputs(v, f))
+    assert score("1111-", "1211") > 0 > score("10--0", "2122") and score("11---", "1211") > score("11---", "2122")
+    assert not pii.fit({})["ssn"].any()
+
+
+def test_pii_added_spans(spark):
+    """Numbers, secrets and names with their cues are found; look-alikes with counter-evidence are not."""
+    r, rows, want = random.Random(12), [], {}
+    digits = lambda n: "".join(r.choices("123456789", k=n))
+    names = ["Anna", "Peter", "Maria", "Thomas"]
+    for i in range(400):
+        kind = ("ssn", "iban", "secret", "person", "none")[i % 5]
+        value = {"ssn": f"{r.randint(100, 600)}-{digits(2)}-{digits(4)}", "iban": f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", "secret": f"api_key = {''.join(r.choices('0123456789abcdef', k=32))}", "person": f"Mr. {r.choice(names)} Berg{'aeiou'[i % 5]}r", "none": f"{r.randint(900, 999)}-00-0000"}[kind]
+        lead = {"ssn": "her social security number is ", "iban": "pay to the bank account ", "secret": "use ", "person": "please write to the contact ", "none": "see the part model invoice "}[kind]
+        text = f"some words {lead}{value} and so on"
+        rows.append((i, text))
+        if kind != "none":
+            at = text.index(value)
+            want[i] = f"{kind}:{at}:{at + len(value)}"
+    got = {x.doc_id: x for x in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [want[i] in got[i].spans.split(",") for i in want]
+    assert sum(found) / len(found) > 0.95
+    assert not any(got[i].n_ssn for i in range(400) if i not in want)
+    assert all(x.n_spans == len([y for y in x.spans.split(",") if y]) for x in got.values())
 
 
 def test_pii_odd_and_redaction(odd, empty):
