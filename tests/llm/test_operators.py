@@ -116,12 +116,16 @@ def test_pii_is_native(odd):
 
 
 # --- 2 ----------------------------------------------------------------------------------------
+HEADERS, BODIES = licenses.TEMPLATES, licenses.BODIES
+FIRST = min(HEADERS)  # the first name of the template file
+
+
 def test_license_templates_and_inheritance(spark):
     from pyspark.sql import functions as F
 
     lines = [
         (1, "LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT"),
-        (2, "src/a.py", "import os\n# Licensed under the Apache License, Version 2.0.\nmore code here", "Apache-2.0"),
+        (2, "src/a.py", f"import os\n# {HEADERS[FIRST][0]}\n{'more code here ' * 20}", FIRST),
         (3, "src/b.py", "no licence at all in here", "MIT"),
         (4, "lib/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
         (5, "lib/deep/er/c.py", "nothing", "GPL-3.0"),
@@ -130,12 +134,54 @@ def test_license_templates_and_inheritance(spark):
         (8, None, "plain", None),
         (9, "x/y", None, "MIT"),
         (9, "x/y", "", "MIT"),
+        (10, "whole/words.txt", BODIES["BSD-2-Clause"], "BSD-2-Clause"),
+        (11, "whole/under/f.py", "nothing", "BSD-2-Clause"),
     ]
     df = spark.createDataFrame([(a, b, c) for a, b, c, _ in lines], "doc_id long, path string, text string")
     got = licenses.scan(df, F.col("path")).collect()
     assert sorted((r.doc_id, r.license or "") for r in got) == sorted((a, d or "") for a, _, _, d in lines)
     by = {r.doc_id: r for r in got}
     assert by[5].inherited_from == "lib" and by[3].inherited_from == "" and by[7].own_license is None
+    assert by[10].is_license_file and by[11].inherited_from == "whole"
+
+
+def test_license_files_are_told_by_their_whole_text():
+    """Each whole licence, with a copyright line before it and its lines wrapped anew, is itself."""
+    s = licenses.Scorer({"the": 900, "of": 900, "software": 20}, 1000)
+    for name, body in BODIES.items():
+        words = ("Copyright (c) 2020 Some Person and others. " + body).split()
+        text = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+        assert s.text(text)[1:] == (name, True), name
+        assert abs(s.whole(licenses.terms(body))[0] - 1) < 1e-9
+    prose = "it was the best of times and it was the worst of times for any person of that age " * 5
+    assert s.text(prose) == (0.0, "", False)
+
+
+@pytest.mark.parametrize("text", ["Released under the MIT License. See LICENSE", "x y z. Released under the\nMIT License.\nother", "Code here is licensed under the MIT License and the documents are not", "Released under the MIT License. Contact the source of the work for version 2"])
+def test_license_headers_inside_other_words(text):
+    s = licenses.Scorer({"the": 40_000, "of": 40_000, "work": 300}, 50_000)
+    assert s.text(text)[1] == "MIT"
+
+
+def best_part(s, text):
+    """The best header's cosine over all parts of a text, up to the longest header."""
+    words = text.lower().split()
+    known = [i for i, w in enumerate(words) if licenses.VOCABULARY.intersection(licenses.terms(w))]
+    parts = ((i, j) for n, i in enumerate(known) for j in known[n:] if j - i < licenses.LONGEST)
+    return max((s.line(licenses.terms(" ".join(words[i : j + 1]))) for i, j in parts), default=(0.0, ""))
+
+
+def test_license_scan_against_all_parts(documents):
+    """A text has a licence of its own exactly if some part of it reaches the threshold."""
+    from pyspark.sql import functions as F
+
+    some = documents.where("n_chars < 4000")
+    df, n = licenses.frequencies(some)
+    s = licenses.Scorer(df, n)
+    got = as_dict(licenses.scan(some, F.col("source")))
+    for r in some.collect():
+        score, name = best_part(s, r.text)
+        assert (got[r.doc_id].own_license is not None) == (score >= licenses.THRESHOLD), (r.text[:200], score, name)
 
 
 def test_license_cosine_is_plain_cosine():

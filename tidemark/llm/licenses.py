@@ -1,23 +1,28 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Runs of template words in a text (long ones also in overlapping windows) are compared with the header
-and licence templates.  Document frequencies of the templates' terms come from all documents; terms outside
-the templates count as the rarest.  A file whose words are mostly licence text, or that has a
-licence's name, is a licence file: files without a licence of their own inherit from the licence
-file in the nearest ancestor directory, found by joins on directory paths.
-
-Defined results: null and empty texts have no licence of their own; several licence files in a
-directory: the most similar counts, then the first path; repeated rows give repeated results; a
-null path has no directory; an empty table gives an empty result; extra columns are ignored.
+Templates are files beside this module: header sentences, and whole licences.  A whole text is
+compared with the whole licences; runs of header words in it, and the parts of such runs that a
+header could fill, are compared with the headers.  Document frequencies of the templates' terms come
+from all documents; terms outside the templates count as the rarest.  A file like a whole licence,
+or mostly of header lines, or with a licence and a licence's file name, is a licence file: files
+without a licence of their own inherit from the licence file in the nearest ancestor directory, found
+by joins on directory paths.
+
+Defined results: null and empty texts have no licence of their own; ties of similarity go to the
+greater name; several licence files in a directory: the most similar counts, then the last path;
+repeated rows give repeated results; a null path has no directory; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +32,18 @@ from pyspark.sql import functions as F
 from .common import claim, fresh_path, map_rows, table, texts
 
 THRESHOLD = 0.72
-WINDOW = 40
-#: A word with at least this share of some template may open or close a run.
+#: Similarity to a whole licence from which a file is one, and words that such a file has at least.
+WHOLE, WORDS = 0.85, 30
+#: A word with at least this share of some header may open or close a run.
 HEAVY = 0.03
 #: Words whose share is kept by a worker; emptied when full.
 KEPT = 150_000
 #: Share of a text's words in licence lines from which it is a licence file.
 MOSTLY = 0.6
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0-only"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "BSD-3-Clause": ("Licensed under the 3-Clause BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "CC0-1.0": ("Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "Proprietary": ("All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."),
-}
+_FILES = Path(__file__).parent / "licences"
+#: Names (SPDX) with their header sentences, and with the whole licence.
+TEMPLATES: dict[str, list[str]] = json.loads((_FILES / "headers.json").read_text())
+BODIES: dict[str, str] = {f.stem: f.read_text() for f in sorted(_FILES.glob("*.txt"))}
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _NAME = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[._-].*)?$"
 
@@ -58,29 +53,35 @@ def terms(line: str) -> list[str]:
 
 
 VOCABULARY = frozenset(t for v in TEMPLATES.values() for x in v for t in terms(x))
+#: Terms whose document frequencies count.
+COUNTED = VOCABULARY.union(*(terms(x) for x in BODIES.values()))
+#: Words of the longest header.
+LONGEST = max(len(x.split()) for v in TEMPLATES.values() for x in v)
 
 
 class Scorer:
     """Cosines to all templates; `df` are document frequencies among n documents."""
 
     def __init__(self, df: dict[str, int], n: int):
-        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
+        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in COUNTED}
         self.rare = math.log(1 + n) + 1
-        self.rows: list[tuple[str, dict[str, float], float]] = []
-        for name, variants in TEMPLATES.items():
-            for x in variants:
-                v = {t: c * self.idf[t] for t, c in Counter(terms(x)).items()}
-                self.rows.append((name, v, math.sqrt(sum(w * w for w in v.values()))))
-        self.shares: dict[str, float] = {}
+        self.rows = [self._row(name, x) for name, variants in TEMPLATES.items() for x in variants]
+        self.bodies = [self._row(name, x) for name, x in BODIES.items()]
+        self.shares: dict[str, tuple[float, float]] = {}
+
+    def _row(self, name: str, text: str) -> tuple[str, dict[str, float], float]:
+        v = {t: c * self.idf[t] for t, c in Counter(terms(text)).items()}
+        return name, v, math.sqrt(sum(w * w for w in v.values()))
 
     def line(self, words: list[str]) -> tuple[float, str]:
+        """The best header's cosine and name."""
         known = VOCABULARY.intersection(words)
         if not known:
             return 0.0, ""
         count = Counter(words)
         own = {t: count[t] * self.idf[t] for t in known}
         inside = sum(w * w for w in own.values())
-        norm = inside + sum((c * self.rare) ** 2 for t, c in count.items() if t not in known)
+        norm = inside + sum((c * self.idf.get(t, self.rare)) ** 2 for t, c in count.items() if t not in known)
         if inside < THRESHOLD**2 * norm:
             return 0.0, ""  # the cosine is at most sqrt(inside / norm)
         norm = math.sqrt(norm)
@@ -88,16 +89,26 @@ class Scorer:
         fit = (x for x in self.rows if len(known & x[1].keys()) >= min(3, len(x[1])))
         return max(((sum(w * v[t] for t, w in own.items() if t in v) / norm / size, name) for name, v, size in fit), default=(0.0, ""))
 
-    def share(self, word: str) -> float:
-        """At most how much of a template's squared norm the word's terms can match."""
-        return sum(max((v[t] ** 2 / size**2 for _, v, size in self.rows if t in v), default=0.0) for t in VOCABULARY.intersection(terms(word)))
+    def whole(self, words: list[str]) -> tuple[float, str]:
+        """The best whole licence's cosine and name."""
+        own = {t: c * self.idf.get(t, self.rare) for t, c in Counter(words).items()}
+        norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
+        return max((sum(w * v[t] for t, w in own.items() if t in v) / norm / size, name) for name, v, size in self.bodies)
+
+    def share(self, word: str) -> tuple[float, float]:
+        """At most how much of a header's squared norm the word's terms can match; and the word's
+        weight, negative if a term of it is in no template."""
+        own = terms(word)
+        head = sum(max((v[t] ** 2 / size**2 for _, v, size in self.rows if t in v), default=0.0) for t in VOCABULARY.intersection(own))
+        weight = sum(self.idf.get(t, self.rare) ** 2 for t in own)
+        return head, weight if all(t in COUNTED for t in own) else -weight
 
     def text(self, text: str) -> tuple[float, str, bool]:
-        """Similarity and name of the best licence, and whether the text is mostly licence.
+        """Similarity and name of the best licence, and whether the text is a licence file.
 
-        Only runs of template words are compared, cut at line ends and at two other words in a row.
-        A cosine is at most the square root of the run's share of the template's squared norm, so
-        runs whose words can't reach the threshold are passed over; that loses nothing.
+        Only runs of header words are compared with headers, cut at empty lines and at two other words
+        in a row.  A cosine is at most the square root of the run's share of the header's squared
+        norm, so runs whose words can't reach the threshold are passed over; that loses nothing.
         """
         lines = [line.split() for line in text.lower().split("\n")]
         words = [w for line in lines for w in line]
@@ -107,26 +118,38 @@ class Scorer:
         for w in set(words):
             if w not in self.shares:
                 self.shares[w] = self.share(w)
-        share = np.fromiter(map(self.shares.__getitem__, words), float, len(words))
+        both = np.fromiter((x for w in words for x in self.shares[w]), float, 2 * len(words)).reshape(-1, 2)
+        share, weight = both[:, 0], both[:, 1]
+        if len(words) >= WORDS and weight[weight > 0].sum() >= 0.6 * np.abs(weight).sum():
+            # Few words are foreign to all templates: the file may be a licence as a whole.
+            best, name = self.whole(terms(" ".join(words)))
+            if best >= WHOLE:
+                return best, name, True
         at = np.flatnonzero(share)
         if not len(at):
             return 0.0, "", False
         line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])[at]
-        new = np.flatnonzero(np.append(True, (np.diff(at) > 2) | (np.diff(line) > 0)))
+        new = np.flatnonzero(np.append(True, (np.diff(at) > 2) | (np.diff(line) > 1)))
         best, name, covered = 0.0, "", 0
         ends = np.append(new[1:], len(at))
         for k in np.flatnonzero(np.add.reduceat(share[at], new) >= THRESHOLD**2):
             own = at[new[k] : ends[k]]
             # Common words at either end belong to the sentence around it.
-            heavy = own[share[own] >= HEAVY]
-            if not len(heavy):
+            heavy = own[share[own] >= HEAVY].tolist()
+            if not heavy:
                 continue
-            run = words[heavy[0] : heavy[-1] + 1]
-            top = self.line(terms(" ".join(run)))
-            for i in range(0, len(run) - WINDOW // 2 if len(run) > WINDOW else 0, WINDOW // 2):
-                top = max(top, self.line(terms(" ".join(run[i : i + WINDOW]))))
+            top, taken = self.line(terms(" ".join(words[heavy[0] : heavy[-1] + 1]))), len(words[heavy[0] : heavy[-1] + 1])
+            # Parts from one heavy word to another, no longer than headers are: one sentence of several.
+            for i, a in enumerate(heavy):
+                for b in heavy[i:]:
+                    if b - a >= LONGEST:
+                        break
+                    if share[a : b + 1].sum() >= THRESHOLD**2 and (b > a):
+                        one = self.line(terms(" ".join(words[a : b + 1])))
+                        if one > top:
+                            top, taken = one, b - a + 1
             if top[0] >= THRESHOLD:
-                covered += len(run)
+                covered += taken
                 best, name = max((best, name), top)
         return best, name, covered >= MOSTLY * len(words)
 
@@ -145,7 +168,7 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
                     if known is None:
                         if len(kept) > KEPT:
                             kept.clear()
-                        known = kept[w] = VOCABULARY.intersection(terms(w))
+                        known = kept[w] = COUNTED.intersection(terms(w))
                     if known:
                         found |= known
                 got.update(found)
