@@ -128,11 +128,11 @@ def stored(spark, tmp_path):
 def test_store(spark, stored, tmp_path):
     s, r = stored
     assert s.days(spark, r) == [date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 5)]
-    s.compact(spark, r, date(2024, 1, 1))
+    s.compact(spark, r, s.days(spark, r))
     assert sorted(x.v for x in s.read(spark, r).collect()) == [2, 3, 4]
     other = Store(f"file://{tmp_path}/copy")
     s.backup(spark, r, other)
-    s.migrate(spark, r, date(2024, 1, 2), "hot", "cold")
+    s.migrate(spark, r, [date(2024, 1, 2)], "hot", "cold")
     assert sorted(x.v for x in s.read(spark, r).collect()) == [2, 4] and [x.v for x in s.read(spark, r, "cold").collect()] == [3]
     assert s.expire(spark, r, 2, date(2024, 1, 5)) == [date(2024, 1, 1)]
     s.restore(spark, r, other)
@@ -185,5 +185,73 @@ def test_sampling_fails_open(spark):
     def broken(rows):
         raise RuntimeError
 
-    assert sampling.chain(spans, "t", [broken]).where("keep").count() == 4
+    assert sampling.chain(spans, "t", [broken]).where("keep AND failures = 1").count() == 4
+    # A plugin sees the spans' columns; one that asks for others is bypassed and counted.
+    assert sampling.sampled(spans, "t", [lambda rows: rows["start"].max() > 99]).count() == 0
+    assert sampling.chain(spans, "t", [lambda rows: rows["nothing"].any()]).where("keep AND failures = 1").count() == 4
     assert sampling.sampled(spans, "t", [sampling.Sampler(rate=1.0), lambda rows: len(rows) > 99]).count() == 0
+
+
+def test_streaming_late_points_and_expiry(spark, tmp_path):
+    """Points of buckets that ended before the watermark are dropped, and the state of such buckets."""
+    from tidemark.catalog import Ranking
+    from tidemark.sources.storage import _names
+    from tidemark.streaming.topn import RankingStream
+
+    c = Catalog()
+    r = Resource(Kind.MEASURE, "g", "m", (Tag("k"), Tag("grp")), (Field("v"),), ("k",))
+    c.add(r, lambda s: None)
+    c.add_ranking(Ranking("g", "t", "m", "g", "v", ("grp",), "DESC", counters=2))
+    job = RankingStream(spark, c, "g", "t", f"file://{tmp_path}")
+
+    def batch(minute, k, v):
+        return spark.sql(f"SELECT timestamp '2024-01-01 00:{minute:02}:00' AS bucket, 'x' AS group_key, 'x' AS grp, '{k}' AS k, {v}L AS value, timestamp '2024-01-01 00:{minute:02}:05' AS ts, 1L AS version")
+
+    job._update(batch(0, "a", 1), 0)
+    job._update(batch(30, "b", 2), 1)
+    assert job.watermark(2).minute == 28 and job.watermark(1).minute == 58
+    job._update(batch(0, "c", 3), 2)  # late: its bucket ended at 00:01
+    job._update(batch(28, "d", 4), 3)  # not late: its bucket ends at 00:29
+    assert sorted((x.k, x.value) for x in job.lists().collect()) == [("a", 1), ("b", 2), ("d", 4)]
+    left = [b for n in _names(spark, f"{job.root}/state") for b in _names(spark, f"{job.root}/state/{n}") if b.startswith("_b=")]
+    assert len(left) == 2 and job.watermark(4).minute == 28
+
+
+def test_times_reach_the_scan(spark, sf):
+    """Segment bounds of traces, and the range of a ranking, are constants that Parquet tests."""
+    from tidemark.bindings import catalog
+
+    e = Engine(spark, catalog(sf))
+    for text, column in (("SELECT duration FROM TRACE orders IN shop TIME BETWEEN '1996-01-01T10:00:00Z' AND '1996-01-31T10:00:00Z' ORDER BY duration DESC", "o_orderdate"), ("SHOW TOP 3 FROM MEASURE user_top IN ev TIME BETWEEN '2024-01-05T00:00:00Z' AND '2024-01-20T00:00:00Z' ORDER BY DESC", "ts")):
+        plan = e.query(text)._jdf.queryExecution().executedPlan().toString()
+        assert f"GreaterThanOrEqual({column}" in plan and f"LessThanOrEqual({column}" in plan
+
+
+def test_creation_clamps_all_groups(spark):
+    """The range begins when the last of the groups' resources was created, for traces too."""
+    c = Catalog()
+    for g, created in (("g", None), ("h", datetime(2024, 1, 3, tzinfo=timezone.utc))):
+        for kind, ids in ((Kind.TRACE, {"trace_id": "t", "span_id": "s", "unique": True}), (Kind.STREAM, {"element_id": "s", "unique": True})):
+            c.add(Resource(kind, g, "x", (Tag("t"), Tag("n", Type.INT)), rules=(IndexRule("n", ("n",)),), created=created, **ids), lambda spark, g=g: spark.sql(f"SELECT concat('{g}', id) AS t, concat('{g}', id) AS s, id AS n, timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS ts FROM range(5)"))
+    e = Engine(spark, c)
+    begin = "TIME BETWEEN '2024-01-01T00:00:00Z' AND '2024-02-01T00:00:00Z'"
+    assert e.query(f"SELECT n FROM STREAM x IN (g, h) {begin}").count() == 6
+    assert e.query(f"SELECT n FROM TRACE x IN (g, h) {begin} ORDER BY n DESC").count() == 6
+    assert e.query(f"SELECT n FROM TRACE x IN g {begin} ORDER BY n DESC").count() == 5
+
+
+def test_limits_beyond_31_bits(spark, sf):
+    from tidemark.bindings import catalog
+
+    with pytest.raises(RequestError):
+        Engine(spark, catalog(sf)).query("SELECT user_id FROM STREAM events IN log LIMIT 4294967294")
+
+
+def test_finalize_samples_traces(spark, tmp_path):
+    r = Resource(Kind.TRACE, "g", "t", (Tag("n", Type.INT),), trace_id="t", span_id="s")
+    df = spark.sql("SELECT concat('t', id % 3) AS t, id % 9 AS s, id AS n, timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 3 AS int)) AS ts FROM range(18)")
+    s = Store(f"file://{tmp_path}/hot")
+    s.append(df, r)
+    assert s.finalize(spark, r, [lambda rows: rows["n"].min() > 0], date(2024, 1, 3), grace_days=0) == [date(2024, 1, 1), date(2024, 1, 2)]
+    # Day 1 holds t0, which goes; day 2 t1, whose spans had two copies each; day 3 is not finalized.
+    assert sorted(x.n for x in s.read(spark, r).collect()) == [1, 2, 4, 5, 7, 8, 11, 14, 17]

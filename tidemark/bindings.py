@@ -73,7 +73,7 @@ def catalog(sf_dir: str) -> Catalog:
     log = Resource(Kind.STREAM, "log", "events", ELEMENT_TAGS, entity=("event_type",), rules=ELEMENT_RULES, element_id="event_id", unique=True)
     c.add(log, _read(sf_dir, "events", *ELEMENT))
     c.add(Resource(Kind.STREAM, "log_copy", "events", ELEMENT_TAGS, entity=("event_type",), rules=ELEMENT_RULES, element_id="event_id"), _copies(sf_dir))
-    c.add(Resource(Kind.STREAM, "docs", "documents", (Tag("text"), Tag("lang"), Tag("source"), Tag("n_chars", I), Tag("words", A)), entity=("lang",), rules=(IndexRule("text", ("text",), "simple"), IndexRule("chars", ("n_chars",))), element_id="doc_id", unique=True), _read(sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars", "slice(split(text, ' '), 1, 40) AS words", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id % 86400) AS ts"))
+    c.add(Resource(Kind.STREAM, "docs", "documents", (Tag("text"), Tag("lang"), Tag("source"), Tag("n_chars", I), Tag("words", A)), entity=("lang",), rules=(IndexRule("text", ("text",), "simple"), IndexRule("chars", ("n_chars",))), element_id="doc_id", unique=True), _read(sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars", "split(text, ' ') AS words", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id % 86400) AS ts"))
 
     order = ("o_custkey", "o_orderkey", "o_orderdate AS ts", "cast(o_totalprice AS bigint) AS duration", "o_orderstatus AS state", "o_orderpriority AS priority")
     order_tags = (Tag("o_custkey", I), Tag("o_orderkey", I), Tag("duration", I), Tag("state"), Tag("priority"), Tag("ts", Type.TIMESTAMP))
@@ -86,7 +86,7 @@ def catalog(sf_dir: str) -> Catalog:
 
     c.add_group(Group("crm_new", Kind.PROPERTY))
     newer = _revisions(sf_dir)
-    c.add(Resource(Kind.PROPERTY, "crm_new", "customer", (Tag("label"), Tag("segment"), Tag("balance", I), Tag("number", I))), lambda spark: newer(spark).where("number <= 50").withColumn("group", F.lit("crm_new")))
+    c.add(Resource(Kind.PROPERTY, "crm_new", "customer", (Tag("label"), Tag("segment"), Tag("balance", I), Tag("number", I))), lambda spark: newer(spark).withColumn("group", F.lit("crm_new")))
     c.add_ranking(Ranking("ev_old", "user_top", "event_value", "ev_old", "amount", ("event_type",), "DESC", counters=20, interval="1 day"))
     for name, sort, by, criteria in (("user_top", "DESC", ("event_type",), None), ("user_both", None, (), None), ("buyers", "DESC", (), Cond("event_type", "EQ", "purchase")), ("others", "ASC", ("event_type",), Cond("event_type", "NOT_IN", ["click", "view"]))):
         c.add_ranking(Ranking("ev", name, "event_value", "ev", "amount", by, sort, counters=20, interval="1 day", criteria=criteria))

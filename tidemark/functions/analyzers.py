@@ -33,10 +33,15 @@ def match(text: Column, values: list[str], analyzer: str, operator: str, every_t
     value's tokens); several values are combined by the operator.
     """
     own = tokens(text, analyzer)
+    plain = F.lower(text) if ANALYZERS[analyzer][1] else text
     each = []
     for v in values:
         asked = tokens(F.lit(str(v)), analyzer)
-        found = F.size(F.array_except(asked, own)) == 0 if every_token else F.arrays_overlap(asked, own)
+        # A token is part of its text: texts without it needn't be split.
+        if every_token:
+            found = F.forall(asked, lambda t: plain.contains(t)) & (F.size(F.array_except(asked, own)) == 0)
+        else:
+            found = F.exists(asked, lambda t: plain.contains(t)) & F.arrays_overlap(asked, own)
         each.append(F.coalesce(found & (F.size(asked) > 0), F.lit(False)))
     out = each[0]
     for e in each[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from .predicates import compile_criteria, conditions
 #: Rows (traces for a trace query) that a request without a limit gives.
 DEFAULT_LIMIT = {Kind.MEASURE: 100, Kind.STREAM: 20, Kind.TRACE: 20, Kind.PROPERTY: 100}
 NUMERIC = (Type.INT, Type.FLOAT)
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def within(df: DataFrame, begin: datetime | None, end: datetime | None, ts: str = "ts") -> DataFrame:
@@ -31,21 +32,38 @@ def within(df: DataFrame, begin: datetime | None, end: datetime | None, ts: str
     return df
 
 
+def segments(df: DataFrame, begin: datetime | None, end: datetime | None, ts: str, days: int) -> DataFrame:
+    """Rows of the segments (so many days, aligned to the epoch) that overlap the range.  The bounds
+    are constants, which reach the scan."""
+    first = None if begin is None else _EPOCH + timedelta(days=(begin - _EPOCH).days // days * days)
+    last = None if end is None else _EPOCH + timedelta(days=((end - _EPOCH).days // days + 1) * days, microseconds=-1)
+    return within(df, first, last, ts)
+
+
+def clamped(q: Request, resources: list[Resource]) -> datetime | None:
+    """Where the range begins: not before the resources were created."""
+    created = [r.created for r in resources if r.created]
+    return max(q.begin, *created) if q.begin and created else q.begin
+
+
 def source(spark: SparkSession, catalog: Catalog, kind: Kind, q: Request) -> tuple[DataFrame, Resource]:
-    """Rows of all groups under one schema, in each group's time range.
+    """Rows of all groups under one schema, in the time range; traces by whole segments.
 
-    A group's range begins no earlier than its resource was created.
+    The range begins no earlier than the last of the groups' resources was created.
     """
     if not q.groups:
         raise RequestError("a request names at least one group")
     resources = [catalog.get(kind, g, q.name) for g in q.groups]
     schema, conflicts = merged(resources)
     out = None
+    begin = clamped(q, resources)
     for r in resources:
         df = catalog.frame(spark, r, q.stages)
-        if kind is not Kind.PROPERTY:
-            begin = max(q.begin, r.created) if q.begin and r.created else q.begin
-            df = within(df, begin, q.end, r.timestamp) if kind is not Kind.TRACE else df
+        if kind is Kind.TRACE and not q.exact_time:
+            group = catalog.groups.get(r.group)
+            df = segments(df, begin, q.end, r.timestamp, group.segment_days if group else 1)
+        elif kind is not Kind.PROPERTY:
+            df = within(df, begin, q.end, r.timestamp)
         df = aligned(df, r, schema, conflicts) if len(resources) > 1 else df
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     bad = conflicts & {t for t in (x.name for x in _ranges(q)) if t}
@@ -106,14 +124,16 @@ def order_tag(r: Resource, by: str) -> str:
     return rule.tags[0]
 
 
-#: Spark's own limit counts with 32 bits.
-MOST = 2**31 - 1
+#: Spark's own limit counts with 31 bits; the largest count that a request can hold asks for all rows.
+MOST, ALL = 2**31 - 1, 2**32 - 1
 
 
 def page(df: DataFrame, q: Request, kind: Kind) -> DataFrame:
-    """Offset, then limit.  A limit beyond 31 bits cuts nothing, so the sort stays distributed."""
+    """Offset, then limit.  The limit ALL cuts nothing, so the sort stays distributed."""
     if q.offset > MOST:
         raise RequestError(f"an offset is at most {MOST}")
     df = df.offset(q.offset) if q.offset else df
     n = q.limit or DEFAULT_LIMIT[kind]
-    return df.limit(n) if n <= MOST else df
+    if MOST < n < ALL:
+        raise RequestError(f"a limit is at most {MOST}, or {ALL} for all rows")
+    return df if n == ALL else df.limit(n)

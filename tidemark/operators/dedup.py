@@ -27,6 +27,14 @@ def best(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
     return got.select(*[F.col(f"`{c}`") if c in set(keys) else F.col(f"_w.`{c}`").alias(c) for c in df.columns])
 
 
+def first(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row for each key: the one whose `by` columns are least; ties by the rest of the row."""
+    rest = [c for c in df.columns if c not in set(keys)]
+    tie = F.struct(*[F.col(f"`{c}`") for c in by], *[F.col(f"`{c}`") for c in ordered_types(df, rest)])
+    got = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), tie).alias("_w"))
+    return got.select(*[F.col(f"`{c}`") if c in set(keys) else F.col(f"_w.`{c}`").alias(c) for c in df.columns])
+
+
 def series(df: DataFrame, name: str, entity: Sequence[str]) -> DataFrame:
     """Adds sid, the series: a hash of the resource's name and its entity values."""
     return df.withColumn("sid", F.xxhash64(F.lit(name), *[F.col(f"`{e}`") for e in entity]))

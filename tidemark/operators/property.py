@@ -42,9 +42,11 @@ def apply(log: DataFrame, changes: DataFrame, r: Resource, merge: bool = True) -
     return both.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"`_old_{c}`")).alias(c) if r.tag(c) else F.col(f"`{c}`") for c in new.columns])
 
 
-def delete(log: DataFrame, name: str, ids: list[str] | None, revision: int, when: Column) -> DataFrame:
-    """Tombstones for one name's ids, or for all of them."""
+def delete(log: DataFrame, name: str, ids: list[str] | DataFrame | None, revision: int, when: Column) -> DataFrame:
+    """Tombstones for one name's ids (a list, or a frame with a column id), or for all of them."""
     live = dedup.revisions(log).where(F.col("name") == name)
-    if ids is not None:
+    if isinstance(ids, DataFrame):
+        live = live.join(ids.select("id"), "id", "left_semi").select(*live.columns)
+    elif ids is not None:
         live = live.where(F.col("id").isin(ids))
     return live.withColumn("mod_revision", F.lit(revision).cast(log.schema["mod_revision"].dataType)).withColumn("delete_time", when)

@@ -63,20 +63,23 @@ def decisions(spans: DataFrame, trace_id: str, s: Sampler) -> DataFrame:
     return out.select(trace_id, keep.alias("keep"))
 
 
-def chain(spans: DataFrame, trace_id: str, links: Sequence[Sampler | Callable[[pd.DataFrame], bool]], columns: Sequence[str] = ()) -> DataFrame:
-    """(trace id, keep) of several links."""
+def chain(spans: DataFrame, trace_id: str, links: Sequence[Sampler | Callable[[pd.DataFrame], bool]], columns: Sequence[str] | None = None) -> DataFrame:
+    """(trace id, keep, failures) of several links.  A user's function sees the named columns, or all;
+    one that raises keeps the trace and counts as a failure."""
+    columns = [c for c in (spans.columns if columns is None else columns) if c != trace_id]
     out = None
     for i, link in enumerate(links):
         if isinstance(link, Sampler):
-            one = decisions(spans, trace_id, link)
+            one = decisions(spans, trace_id, link).withColumn("failed", F.lit(0))
         else:
             one = _plugin(spans.select(trace_id, *columns), trace_id, link)
-        one = one.withColumnRenamed("keep", f"_keep{i}")
+        one = one.withColumnRenamed("keep", f"_keep{i}").withColumnRenamed("failed", f"_failed{i}")
         out = one if out is None else out.join(one, trace_id, "left")
     keep = F.lit(True)
     for i in range(len(links)):
         keep = keep & F.coalesce(F.col(f"_keep{i}"), F.lit(True))
-    return out.select(trace_id, keep.alias("keep"))
+    failures = sum((F.coalesce(F.col(f"_failed{i}"), F.lit(0)) for i in range(len(links))), F.lit(0))
+    return out.select(trace_id, keep.alias("keep"), failures.cast("long").alias("failures"))
 
 
 def _plugin(spans: DataFrame, trace_id: str, decide: Callable[[pd.DataFrame], bool]) -> DataFrame:
@@ -84,15 +87,15 @@ def _plugin(spans: DataFrame, trace_id: str, decide: Callable[[pd.DataFrame], bo
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         try:
-            keep = bool(decide(rows))
-        except Exception:  # noqa: BLE001  a failing link is bypassed
-            keep = True
-        return pd.DataFrame({trace_id: [key[0]], "keep": [keep]})
+            keep, failed = bool(decide(rows)), 0
+        except Exception:  # noqa: BLE001  a failing link is bypassed, and counted
+            keep, failed = True, 1
+        return pd.DataFrame({trace_id: [key[0]], "keep": [keep], "failed": [failed]})
 
-    return spans.groupBy(trace_id).applyInPandas(one, f"{trace_id} {kind}, keep boolean")
+    return spans.groupBy(trace_id).applyInPandas(one, f"`{trace_id}` {kind}, keep boolean, failed int")
 
 
-def sampled(spans: DataFrame, trace_id: str, links: Sequence) -> DataFrame:
+def sampled(spans: DataFrame, trace_id: str, links: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
     """All spans of the traces that stay."""
-    kept = chain(spans, trace_id, links).where("keep").select(trace_id)
+    kept = chain(spans, trace_id, links, columns).where("keep").select(trace_id)
     return spans.join(kept, trace_id, "left_semi")

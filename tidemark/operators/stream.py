@@ -21,13 +21,7 @@ def run(spark: SparkSession, catalog: Catalog, q: StreamQuery) -> DataFrame:
     if not r.unique:
         # The copy that comes first in the query's order stays: the least one, or the greatest.
         by = F.col(f"`{key}`")
-        df = dedup.best(df, [r.element_id], [by]) if desc else _least(df, r.element_id, key)
+        df = dedup.best(df, [r.element_id], [by]) if desc else dedup.first(df, [r.element_id], [key])
     df = page(df.orderBy(directed(F.col(f"`{key}`"), desc), F.col(f"`{r.element_id}`")), q, Kind.STREAM)
     return chosen(df, r.element_id, r.timestamp, *projected(r, q.tags))
 
-
-def _least(df: DataFrame, key: str, by: str) -> DataFrame:
-    rest = [c for c in df.columns if c != key]
-    tie = F.struct(F.col(f"`{by}`"), *[F.col(f"`{c}`") for c in dedup.ordered_types(df, rest)])
-    got = df.groupBy(F.col(f"`{key}`")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), tie).alias("_w"))
-    return got.select(*[F.col(f"`{c}`") if c == key else F.col(f"_w.`{c}`").alias(c) for c in df.columns])

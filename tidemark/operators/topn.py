@@ -6,6 +6,8 @@ of each group are kept.  The lists are rows, one for each (bucket, group, series
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,8 @@ from ..errors import RequestError
 from ..functions.aggregates import aggregate, numeric
 from ..model import TopNQuery
 from . import dedup
-from .common import within
-from .predicates import compile_criteria
+from .common import clamped, within
+from .predicates import compile_criteria, conditions
 
 
 def text_of(r: Resource, name: str) -> Column:
@@ -67,14 +69,25 @@ def ranked(points: DataFrame, ranking: Ranking, entity: tuple[str, ...]) -> Data
     return out
 
 
-def lists(spark: SparkSession, catalog: Catalog, group: str, name: str) -> DataFrame:
-    """Batch form of a ranking over all points of its measure."""
+def lists(spark: SparkSession, catalog: Catalog, group: str, name: str, begin: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Batch form of a ranking over the points of its measure, of the buckets that begin in the range.
+
+    The range is tested on the points' own time, by constants, so that it reaches the scan.  The last
+    write in a bucket is of the highest version; only a test of other than entity tags needs the
+    versions sorted out before it.
+    """
     ranking, r = _of(catalog, group, name)
-    df = catalog.frame(spark, r)
-    df = df if r.unique else dedup.versions(df, r.entity, r.timestamp)
+    df = within(catalog.frame(spark, r), begin, end and end + _length(ranking.interval), r.timestamp)
+    entity_only = all((t := r.tag(c.name)) and t.name in r.entity for c in conditions(ranking.criteria))
+    df = df if r.unique or entity_only else dedup.versions(df, r.entity, r.timestamp)
     return ranked(prepared(df, ranking, r), ranking, r.entity)
 
 
+def _length(interval: str) -> timedelta:
+    n, unit = interval.split()
+    return timedelta(**{unit.rstrip("s") + "s": int(n)})
+
+
 def _of(catalog: Catalog, group: str, name: str) -> tuple[Ranking, Resource]:
     ranking = catalog.rankings.get((group, name))
     if ranking is None:
@@ -98,6 +111,7 @@ def run(spark: SparkSession, catalog: Catalog, q: TopNQuery, per_bucket: bool =
     if q.desc is None:
         raise RequestError("a ranking query needs a direction: ORDER BY ASC or DESC")
     direction = "desc" if q.desc else "asc"
+    begin = clamped(q, [_of(catalog, g, q.name)[1] for g in q.groups])
     out = entity = field = None
     for g in q.groups:
         ranking, r = _of(catalog, g, q.name)
@@ -106,8 +120,8 @@ def run(spark: SparkSession, catalog: Catalog, q: TopNQuery, per_bucket: bool =
         if entity is not None and (entity, field) != (r.entity, ranking.field):
             raise RequestError(f"ranking {q.name}: groups differ in entity or field")
         entity, field, type_ = r.entity, ranking.field, r.field_(ranking.field).type
-        df = (stored if stored is not None else lists(spark, catalog, g, q.name)).where(F.col("direction") == direction)
-        df = within(df, q.begin, q.end, "bucket")
+        df = (stored if stored is not None else lists(spark, catalog, g, q.name, begin, q.end)).where(F.col("direction") == direction)
+        df = within(df, begin, q.end, "bucket")
         df = _conditioned(df, q, group_tags(ranking, r))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     by = F.col("value").desc() if q.desc else F.col("value").asc()

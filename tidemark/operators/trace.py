@@ -11,22 +11,11 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Kind, Resource, Type
 from ..errors import RequestError
 from ..model import TraceQuery
+from . import dedup
 from .common import chosen, filtered, page, projected, source, within
 from .predicates import trace_ids
 
 
-def segments(df: DataFrame, q: TraceQuery, r: Resource, days: int) -> DataFrame:
-    """Spans of the segments that overlap the time range; of the range itself with exact_time."""
-    if q.exact_time:
-        return within(df, q.begin, q.end, r.timestamp)
-    day = F.datediff(F.to_date(F.col(f"`{r.timestamp}`")), F.lit("1970-01-01").cast("date"))
-    if q.begin is not None:
-        df = df.where(F.floor(day / days) >= int(q.begin.timestamp() // 86400 // days))
-    if q.end is not None:
-        df = df.where(F.floor(day / days) <= int(q.end.timestamp() // 86400 // days))
-    return df
-
-
 def selected(df: DataFrame, q: TraceQuery, r: Resource, ids: list[str] | None) -> DataFrame:
     """(trace id, rank): the traces of the answer, in order, after offset and limit.
 
@@ -56,18 +45,29 @@ def selected(df: DataFrame, q: TraceQuery, r: Resource, ids: list[str] | None) -
     return page(ranked, q, Kind.TRACE)
 
 
+def key_scan(df: DataFrame, r: Resource, rule: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(trace id, span id, key): the entries of an order key in a range, of all series, both ends
+    included; spans without the key have no entry."""
+    x = r.rule(rule)
+    if x is None or r.tag(x.tags[-1]).type not in (Type.INT, Type.TIMESTAMP):
+        raise RequestError(f"{r.name} has no index rule {rule} with a key")
+    k = F.col(f"`{x.tags[-1]}`")
+    df = df.where(k.isNotNull())
+    df = df if low is None else df.where(k >= low)
+    df = df if high is None else df.where(k <= high)
+    return chosen(df, r.trace_id, r.span_id, x.tags[-1])
+
+
 def run(spark: SparkSession, catalog: Catalog, q: TraceQuery) -> DataFrame:
     """One row for each span of the answer, with its trace's rank columns left out."""
     df, r = source(spark, catalog, Kind.TRACE, q)
-    group = catalog.groups.get(q.groups[0])
-    df = segments(df, q, r, group.segment_days if group else 1)
     ids = trace_ids(q.criteria, r)
     if ids is None and q.order is None:
         raise RequestError("a trace query needs trace ids or an order")
     if q.order is not None and q.order.by is None and ids is None:
         raise RequestError("a trace query is ordered by an index rule")
     if not r.unique:
-        df = df.dropDuplicates([r.trace_id, r.span_id])
+        df = dedup.first(df, [r.trace_id, r.span_id], [r.timestamp])
     top = selected(df, q, r, ids)
     out = df.join(top, r.trace_id)
     desc = bool(q.order and q.order.desc)

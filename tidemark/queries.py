@@ -86,21 +86,21 @@ def _a14(spark: SparkSession, d: str) -> DataFrame:
     return topn.lists(spark, catalog(d), "ev", "user_top").select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
 
 
-@_fn("A20_property_merge", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS label, 'GOLD' AS segment FROM customer WHERE c_custkey <= 200")
+@_fn("A20_property_merge", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS label, 'GOLD' AS segment FROM customer")
 def _a20(spark: SparkSession, d: str) -> DataFrame:
     c = catalog(d)
     r = c.get(Kind.PROPERTY, "crm", "customer")
     log = c.frame(spark, r)
-    changes = log.where("mod_revision = 1 AND number <= 200").select("group", "name", "id", F.lit(9).cast("long").alias("mod_revision"), F.lit(None).cast("string").alias("label"), F.lit("GOLD").alias("segment"), F.lit(None).cast("long").alias("balance"), F.lit(None).cast("long").alias("number"))
+    changes = log.where("mod_revision = 1").select("group", "name", "id", F.lit(9).cast("long").alias("mod_revision"), F.lit(None).cast("string").alias("label"), F.lit("GOLD").alias("segment"), F.lit(None).cast("long").alias("balance"), F.lit(None).cast("long").alias("number"))
     log = log.unionByName(property.apply(log, changes, r))
     return dedup.revisions(log).where("segment = 'GOLD'").select("id", "label", "segment")
 
 
-@_fn("A21_property_delete", f"SELECT count(*) AS n FROM {PROPERTY_SQL} WHERE number > 100")
+@_fn("A21_property_delete", f"SELECT count(*) AS n FROM {PROPERTY_SQL} WHERE segment <> 'BUILDING'")
 def _a21(spark: SparkSession, d: str) -> DataFrame:
     c = catalog(d)
     log = c.frame(spark, c.get(Kind.PROPERTY, "crm", "customer"))
-    ids = [str(i) for i in range(1, 101)]
+    ids = dedup.revisions(log).where("segment = 'BUILDING'").select("id")
     gone = property.delete(log, "customer", ids, 9, F.lit("2024-02-01 00:00:00").cast("timestamp"))
     return dedup.revisions(log.unionByName(gone)).agg(F.count(F.lit(1)).alias("n"))
 
@@ -121,8 +121,8 @@ _events("P8_range_int", "amount >= 100 AND amount < 120", "amount >= 100 AND amo
 _events("P8_range_string", "kind > 'click' AND kind <= 'signup'", "coalesce(kind > 'click' AND kind <= 'signup', false)")
 _events("P9_in", "kind IN ('click', 'view')", "coalesce(kind IN ('click', 'view'), false)")
 _events("P9_not_in", "kind NOT IN ('click', 'view')", "NOT coalesce(kind IN ('click', 'view'), false)")
-_docs("P10_having", "words HAVING ('the', 'of')", "list_has_all(string_split(text, ' ')[1:40], ['the', 'of'])")
-_docs("P10_not_having", "words NOT HAVING ('the', 'of')", "NOT list_has_all(string_split(text, ' ')[1:40], ['the', 'of'])")
+_docs("P10_having", "words HAVING ('the', 'of')", "list_has_all(string_split(text, ' '), ['the', 'of'])")
+_docs("P10_not_having", "words NOT HAVING ('the', 'of')", "NOT list_has_all(string_split(text, ' '), ['the', 'of'])")
 _docs("P10_having_scalar", "source HAVING 'src3'", "source = 'src3'")
 _TOKENS = "string_split_regex(lower(text), '[^\\p{L}]+')"
 _docs("P11_match_and", "text MATCH(('the', 'thing'), 'simple', 'AND')", f"list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'thing')")
@@ -177,10 +177,11 @@ def _d3(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("event_type").agg(aggregate("MAX", Field("amount", Type.INT), strict=True).alias("amount"))
 
 
-@_fn("D5_mean_truncates", "SELECT g, CASE WHEN g = 2 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS m FROM (VALUES (0), (1), (2)) t(g)")
+@_fn("D5_mean_truncates", "SELECT user_id, event_type, greatest(1, CAST(trunc(CAST(sum(x) AS DOUBLE) / count(x)) AS BIGINT)) AS m FROM (SELECT user_id, event_type, CAST(trunc(value) AS BIGINT) - 250 AS x FROM events) GROUP BY 1, 2")
 def _d5(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.sql("SELECT * FROM VALUES (0, -7L), (0, 1L), (1, 0L), (1, 1L), (2, CAST(NULL AS BIGINT)) AS t(g, x)")
-    return df.groupBy("g").agg(mean(F.sum("x"), F.count("x"), Type.INT).alias("m"))
+    """Means of values on both sides of 0 truncate toward 0, and are at least 1."""
+    df = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "event_type", "cast(value AS bigint) - 250 AS x")
+    return df.groupBy("user_id", "event_type").agg(mean(F.sum("x"), F.count("x"), Type.INT).alias("m"))
 
 
 # --- dedup, order, limits ---------------------------------------------------------------------
@@ -316,7 +317,8 @@ def _stored_events(spark: SparkSession, d: str):
 @_fn("A12_key_scan", f"SELECT o_custkey, o_orderkey, duration FROM {ORDER_SQL} WHERE duration BETWEEN 150000 AND 160000")
 def _a12(spark: SparkSession, d: str) -> DataFrame:
     c = catalog(d)
-    return c.frame(spark, c.get(Kind.TRACE, "shop", "orders")).where("duration BETWEEN 150000 AND 160000").select("o_custkey", "o_orderkey", "duration")
+    r = c.get(Kind.TRACE, "shop", "orders")
+    return trace.key_scan(c.frame(spark, r), r, "duration", 150000, 160000)
 
 
 _ql("A17_segments", "SELECT duration FROM TRACE orders IN shop TIME BETWEEN '1996-01-01T10:00:00Z' AND '1996-01-31T10:00:00Z' ORDER BY duration DESC LIMIT 10", "o_custkey; o_orderkey; duration", f"WITH s AS (SELECT * FROM {ORDER_SQL} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'), t AS (SELECT o_custkey FROM s GROUP BY 1 ORDER BY max(duration) DESC, o_custkey LIMIT 10) SELECT o_custkey, o_orderkey, duration FROM s JOIN t USING (o_custkey)")
@@ -342,27 +344,40 @@ def _a22b(spark: SparkSession, d: str) -> DataFrame:
     return store.read(spark, r).select("version")
 
 
-@_fn("A23_compaction", "SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS version FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-03-03' QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 8 + l_linenumber DESC) = 1")
+@_fn("A23_compaction", "SELECT user_id, event_type, event_id + CASE WHEN user_id % 2 = 0 THEN 1000000000 ELSE 0 END AS version, CASE WHEN user_id % 2 = 0 THEN -value ELSE value END AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id DESC) = 1")
 def _a23(spark: SparkSession, d: str) -> DataFrame:
-    from .sources.storage import Store
-
-    c = catalog(d)
-    r = c.get(Kind.MEASURE, "tpch", "supply")
-    store = Store(_root(spark, "store"))
-    store.append(c.frame(spark, r).where("ts >= '1997-03-01' AND ts < '1997-03-03'"), r)
-    for day in store.days(spark, r):
-        store.compact(spark, r, day)
-    return store.read(spark, r).select("l_suppkey", "version")
+    """All days hold two versions of some points; all are compacted in one job."""
+    c, r, store = _stored_events(spark, d)
+    newer = c.frame(spark, r).where("user_id % 2 = 0").withColumn("version", F.col("version") + 1_000_000_000).withColumn("value", -F.col("value"))
+    store.append(newer, r)
+    store.compact(spark, r, store.days(spark, r))
+    return store.read(spark, r).select("user_id", "event_type", "version", "value")
 
 
-@_fn("A26_dump", "SELECT CAST(event_id AS VARCHAR) AS version, event_type FROM events WHERE user_id = 9")
+@_fn("A26_dump", "SELECT CAST(event_id AS VARCHAR) AS version, event_type FROM events")
 def _a26(spark: SparkSession, d: str) -> DataFrame:
     _, r, store = _stored_events(spark, d)
     path = _root(spark, "dump")
-    store.dump(store.read(spark, r).where("user_id = 9"), path)
+    store.dump(store.read(spark, r), path)
     return spark.read.option("header", True).csv(path).select("version", "event_type")
 
 
+@_fn("U5_finalize", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 6)")
+def _u5(spark: SparkSession, d: str) -> DataFrame:
+    """Stored traces, their spans written twice, compacted and sampled when their day is over."""
+    from datetime import date
+
+    from .sources.storage import Store
+
+    c = catalog(d)
+    r = c.get(Kind.TRACE, "chat", "conversations")
+    store = Store(_root(spark, "store"))
+    for _ in range(2):
+        store.append(c.frame(spark, r), r)
+    store.finalize(spark, r, [lambda spans: len(spans) >= 6], date(2024, 1, 3), grace_days=1)
+    return store.read(spark, r).select("conv_id", "turn")
+
+
 @_fn("A27_backup_restore", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events")
 def _a27(spark: SparkSession, d: str) -> DataFrame:
     from .sources.storage import Store
@@ -379,21 +394,19 @@ def _a28(spark: SparkSession, d: str) -> DataFrame:
     from datetime import date
 
     _, r, store = _stored_events(spark, d)
-    for day in store.days(spark, r):
-        if day < date(2024, 1, 4):
-            store.migrate(spark, r, day, "hot", "cold")
+    store.migrate(spark, r, [day for day in store.days(spark, r) if day < date(2024, 1, 4)], "hot", "cold")
     both = [store.read(spark, r, s).groupBy(F.lit(s).alias("stage")).agg(F.count(F.lit(1)).alias("n")) for s in ("hot", "cold")]
     return both[0].unionByName(both[1])
 
 
-@_fn("A29_retype", "SELECT event_id AS version, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS amount FROM events WHERE user_id = 4")
+@_fn("A29_retype", "SELECT event_id AS version, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS amount FROM events")
 def _a29(spark: SparkSession, d: str) -> DataFrame:
     from .sources.storage import Store
 
     _, r, store = _stored_events(spark, d)
     new = Store(_root(spark, "retyped"))
     store.resegment(spark, r, new, {"amount": "string"})
-    return new.read(spark, r).where("user_id = 4").select("version", "amount")
+    return new.read(spark, r).select("version", "amount")
 
 
 @_fn("P27_clamp", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
@@ -474,3 +487,144 @@ def _i13(spark: SparkSession, d: str) -> DataFrame:
     early = full.where("rank <= 5").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(1).cast("long"))
     both = early.unionByName(full.withColumn("version", F.lit(2).cast("long")))
     return topn.newest(both, ["event_type", "user_id"]).select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
+
+
+# --- operators that other queries only touch --------------------------------------------------
+_ql("A8_stream_limit_sort", f"SELECT event_type, amount FROM STREAM events IN log {SPAN} WHERE amount > 100 ORDER BY amount ASC LIMIT 33 OFFSET 7", "event_id; amount", f"SELECT event_id, amount FROM {ELEMENT_SQL} WHERE {SPAN_SQL} AND amount > 100 ORDER BY amount, event_id LIMIT 33 OFFSET 7")
+_ql("A18_block_skip", "SELECT l_orderkey, l_linenumber FROM MEASURE lineitem IN tpch TIME BETWEEN '1997-05-05T00:00:00Z' AND '1997-05-06T00:00:00Z' LIMIT 4294967295", "l_orderkey; l_linenumber", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-05-05' AND TIMESTAMP '1997-05-06'")
+_ql("P2_field_projection", f"SELECT value::field, amount::field FROM MEASURE event_value IN ev {ALL} LIMIT 4294967295", "version; value; amount", f"SELECT event_id AS version, value, amount FROM {EVENT_SQL}")
+_ql("P4_group_union", f"SELECT user_id, kind, extra FROM MEASURE event_value IN (ev, ev_old) {ALL} LIMIT 4294967295", "version; user_id; kind; extra", f"SELECT event_id AS version, user_id, kind, CAST(NULL AS VARCHAR) AS extra FROM {EVENT_SQL} UNION ALL SELECT event_id, user_id, NULL, 'x' || user_id FROM {EVENT_SQL}")
+_events("P15_posting_tree", "(amount > 300 OR user_id IN (1, 2, 3)) AND (kind != 'view' AND amount < 400)", "(amount > 300 OR user_id IN (1, 2, 3)) AND NOT coalesce(kind = 'view', false) AND amount < 400")
+_ql("P17_indexed_criteria", f"SELECT user_id, value::field FROM MEASURE event_value IN ev {ALL} WHERE kind = 'click' AND user_id < 50 LIMIT 4294967295", "version; user_id; value", f"SELECT event_id AS version, user_id, value FROM {EVENT_SQL} WHERE coalesce(kind = 'click', false) AND user_id < 50")
+_ql("P18_index_mode_criteria", "SELECT n_name FROM MEASURE nation IN geo WHERE n_name >= 'C' AND n_regionkey IN (1, 2, 3) ORDER BY name DESC", "n_name", "SELECT n_name FROM nation WHERE n_name >= 'C' AND n_regionkey IN (1, 2, 3)")
+_events("P19_row_filter", "kind = 'view' AND props != '{}'", "coalesce(kind = 'view', false) AND NOT coalesce(props = '{}', false)")
+_ql("P22_key_bounds", "SELECT duration FROM TRACE orders IN shop WHERE duration > 150000 ORDER BY duration DESC LIMIT 10", "o_custkey; o_orderkey; duration", f"WITH t AS (SELECT o_custkey FROM {ORDER_SQL} WHERE duration > 150000 GROUP BY 1 ORDER BY max(duration) DESC, o_custkey LIMIT 10) SELECT o_custkey, o_orderkey, duration FROM {ORDER_SQL} JOIN t USING (o_custkey)")
+_ql("P24_ranking_condition", f"SHOW TOP 9 FROM MEASURE user_top IN ev {SPAN} WHERE event_type = 'view' ORDER BY DESC", "user_id; event_type; amount", f"SELECT user_id, event_type, max(amount) AS amount FROM {_lists_sql()} WHERE {_RANGE} AND event_type = 'view' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 9")
+_ql("C2_index_values", f"SELECT kind, user_id FROM MEASURE event_value IN ev {SPAN} ORDER BY kind DESC LIMIT 60", "version; kind; user_id", f"SELECT event_id AS version, kind, user_id FROM {EVENT_SQL} WHERE {SPAN_SQL} ORDER BY kind DESC NULLS LAST, ts, user_id, event_type LIMIT 60")
+_events("C4_intersection", "amount >= 300 AND user_id < 60 AND event_type IN ('click', 'signup')", "amount >= 300 AND user_id < 60 AND event_type IN ('click', 'signup')")
+_events("G6_set_operations", "amount < 20 OR amount >= 470 OR (user_id = 5 AND kind NOT IN ('click', 'view'))", "amount < 20 OR amount >= 470 OR (user_id = 5 AND NOT coalesce(kind IN ('click', 'view'), false))")
+_ql("G7_filters_over_segments", f"SELECT user_id, value::field FROM MEASURE event_value IN staged ON (hot, cold) STAGES {ALL} WHERE kind = 'view' LIMIT 4294967295", "version; user_id; value", f"SELECT event_id AS version, user_id, value FROM {EVENT_SQL} WHERE coalesce(kind = 'view', false)")
+_ql("D8_hash_group", f"SELECT l_partkey, quantity_i::field, COUNT(quantity_i) FROM MEASURE lineitem IN tpch {ALL} GROUP BY l_partkey, quantity_i LIMIT 4294967295", "l_partkey; quantity_i", "SELECT l_partkey, count(*) AS quantity_i FROM lineitem GROUP BY 1")
+_ql("D16_extended_projection", f"SELECT SUM(amount) FROM MEASURE event_value IN ev {SPAN} WHERE user_id < 100", "amount", f"SELECT CAST(sum(amount) AS BIGINT) AS amount FROM {EVENT_SQL} WHERE {SPAN_SQL} AND user_id < 100 HAVING count(*) > 0")
+_ql("D19_aggregate_columns", f"SELECT event_type, value::field, MIN(value) FROM MEASURE event_value IN ev {SPAN} GROUP BY event_type, value", "*", f"SELECT event_type, min(value) AS value FROM {EVENT_SQL} WHERE {SPAN_SQL} GROUP BY 1")
+_ql("F12_distinct_elements", "SELECT amount FROM STREAM events IN log_copy ORDER BY amount DESC LIMIT 60", "event_id; amount", f"SELECT event_id, amount FROM {ELEMENT_SQL} ORDER BY amount DESC, event_id LIMIT 60")
+_ql("F21_distinct_entities", f"SHOW TOP 100000 FROM MEASURE user_top IN ev {SPAN} ORDER BY DESC", "user_id; event_type; amount", f"SELECT user_id, event_type, max(amount) AS amount FROM {_lists_sql()} WHERE {_RANGE} GROUP BY 1, 2")
+_docs("S9_arrays", "words HAVING ('the') AND words NOT HAVING ('of')", "list_contains(string_split(text, ' '), 'the') AND NOT list_contains(string_split(text, ' '), 'of')")
+
+
+def _partials(spark: SparkSession, d: str, function: str) -> DataFrame:
+    from .functions.timeparse import time_range
+
+    begin, end = time_range("BETWEEN", "1990-01-01T00:00:00Z", "2030-01-01T00:00:00Z")
+    q = MeasureQuery(("ev",), "event_value", begin, end, group_by=("event_type",), aggregate=(function, "amount"))
+    return measure.partials(spark, catalog(d), q, shards=5)
+
+
+def _reduced(key: str, function: str, sql: str, copies: int) -> None:
+    """Final results of partial ones, which some nodes send more than once."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        parts = sent = _partials(spark, d, function)
+        for _ in range(copies - 1):
+            sent = sent.unionByName(parts)
+        return measure.reduced(sent, function, Field("amount", Type.INT), ["event_type"])
+
+    QUERIES[key] = run
+    ORACLE_SQL[key] = f"SELECT event_type, {sql} AS amount FROM {EVENT_SQL} GROUP BY 1"
+
+
+_reduced("D12_reduce", "SUM", "CAST(sum(amount) AS BIGINT)", 1)
+_reduced("D13_replicas", "COUNT", "count(amount)", 3)
+_reduced("K2_distributed_max", "MAX", "max(amount)", 2)
+
+
+@_fn("F2_versions_across_groups", "SELECT user_id, event_type, event_id + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN user_id % 2 = 0 THEN 2 * value ELSE value END AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id DESC) = 1")
+def _f2(spark: SparkSession, d: str) -> DataFrame:
+    """Two groups hold the same points; the higher version stays."""
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "ev", "event_value")
+    one = c.frame(spark, r)
+    two = one.where("user_id % 2 = 0").withColumn("version", F.col("version") + 1).withColumn("value", 2 * F.col("value"))
+    return dedup.versions(one.unionByName(two), r.entity, r.timestamp).select("user_id", "event_type", "version", "value")
+
+
+@_fn("F4_trace_ids_once", f"SELECT o_custkey, max(duration) AS rank FROM {ORDER_SQL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def _f4(spark: SparkSession, d: str) -> DataFrame:
+    from .model import Order, TraceQuery
+
+    c = catalog(d)
+    r = c.get(Kind.TRACE, "shop", "orders")
+    q = TraceQuery(("shop",), "orders", order=Order("duration", True), limit=25)
+    return trace.selected(c.frame(spark, r), q, r, None).select("o_custkey", F.col("_rank").alias("rank"))
+
+
+@_fn("F6_entries_once", f"SELECT DISTINCT o_custkey, o_orderkey, duration FROM {ORDER_SQL}")
+def _f6(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries that two parts hold count once."""
+    c = catalog(d)
+    r = c.get(Kind.TRACE, "shop", "orders")
+    both = c.frame(spark, r).unionByName(c.frame(spark, r).where("duration > 100000"))
+    return dedup.first(trace.key_scan(both, r, "duration"), ["o_custkey", "o_orderkey"], ["duration"])
+
+
+@_fn("S5_relative_time", f"SELECT event_id FROM {ELEMENT_SQL} WHERE ts BETWEEN TIMESTAMP '2024-01-18 12:00:00' AND TIMESTAMP '2024-01-20'")
+def _s5(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import datetime, timezone
+
+    now = datetime(2024, 1, 20, tzinfo=timezone.utc)
+    return engine(spark, d).query("SELECT user_id FROM STREAM events IN log TIME > '-1d12h' LIMIT 4294967295", now=now).select("event_id")
+
+
+@_fn("I11_group_keys", "SELECT event_type AS group_key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def _i11(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "ev", "event_value")
+    points = topn.prepared(c.frame(spark, r), c.rankings["ev", "user_top"], r)
+    return points.groupBy("group_key", F.to_date("bucket").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_fn("I12_last_write_counts", f"SELECT strftime(d, '%Y-%m-%d') AS day, user_id, event_type, amount AS value FROM {_lists_sql(by='')}")
+def _i12(spark: SparkSession, d: str) -> DataFrame:
+    """A later write of a series in a bucket replaces the earlier one before the best are kept."""
+    out = topn.lists(spark, catalog(d), "ev", "user_both").where("direction = 'desc'")
+    return out.select(F.to_date("bucket").cast("string").alias("day"), "user_id", "event_type", "value")
+
+
+@_fn("A31_stored_lists", f"SELECT user_id, event_type, max(amount) AS amount FROM {_lists_sql()} WHERE {_RANGE} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15")
+def _a31(spark: SparkSession, d: str) -> DataFrame:
+    """The lists written as rows, and a ranking query that reads them instead of the points."""
+    from .functions.timeparse import time_range
+    from .model import TopNQuery
+
+    c = catalog(d)
+    path = _root(spark, "lists")
+    topn.lists(spark, c, "ev", "user_top").write.parquet(path)
+    begin, end = time_range("BETWEEN", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z")
+    return topn.run(spark, c, TopNQuery(("ev",), "user_top", begin, end, n=15, desc=True), stored=spark.read.parquet(path))
+
+
+def _streamed(spark: SparkSession, d: str, name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a stream of files through `made`, run to its end."""
+    root = _root(spark, name)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    points = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").selectExpr("cast(ts AS timestamp) AS ts", "user_id", "event_type", "cast(value AS bigint) AS amount")
+    out = made(points).writeStream.outputMode("append" if name == "sessions" else "complete")
+    out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}" if name == "sessions" else f"{root}/out/batch=0")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@_fn("I4_sliding_windows", "SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS bucket, event_type, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n FROM (SELECT event_type, CAST(trunc(value) AS BIGINT) AS amount, unnest([date_trunc('day', ts) + INTERVAL 12 HOUR * (CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END), date_trunc('day', ts) + INTERVAL 12 HOUR * (CASE WHEN hour(ts) >= 12 THEN 1 ELSE 0 END) - INTERVAL 12 HOUR]) AS b FROM events) GROUP BY 1, 2")
+def _i4(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming.topn import windowed
+
+    out = _streamed(spark, d, "sliding", lambda p: windowed(p, "ts", "1 day", ["event_type"], "amount", "1 day", "12 hours"))
+    return out.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "event_type", "total", "n")
+
+
+@_fn("I4_session_windows", "WITH e AS (SELECT *, CAST(trunc(value) AS BIGINT) AS amount, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e), g AS (SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, max(ts) + INTERVAL 6 HOUR AS e, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, start, total, n FROM g WHERE e <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def _i4b(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions come out when the watermark has passed their end."""
+    from .streaming.topn import sessions
+
+    out = _streamed(spark, d, "sessions", lambda p: sessions(p, "ts", "6 hours", ["user_id"], "amount", "1 day"))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "n")
