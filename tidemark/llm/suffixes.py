@@ -38,7 +38,7 @@ from .common import fresh_path, table, trim
 
 LENGTH, GRAM = 200, 32
 #: Different runs and bytes of an anchor that may meet in one task, and bytes sorted at once.
-HOT, PLENTY, CHUNK = 4096, 4 << 20, 1 << 20
+HOT, PLENTY, CHUNK = 4096, 4 << 20, 1 << 19
 #: A run's place in one number: first start, whether it may repeat inside itself, starts after the first.
 _LONGEST = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -327,14 +327,21 @@ def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
     covered yet)."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         # Bytes that stand for several copies are covered already; the others occur once.
         distinct = {r[5]: k for k, r in enumerate(rows)}
         keys = list(distinct)
         hits = dict(zip(keys, repeated(keys, length), strict=True))
         out: list[tuple] = []
-        windows: dict[tuple[int, bytes], None] = {}
+        windows: set[bytes] = set()
+        last = None
         for anchor, salts, k1, k2, first, piece, whole in rows:
+            if anchor != last:
+                windows.clear()  # rows are in the order of their anchors
+                last = anchor
             hit = hits[piece]
             if not whole:
                 out += [(0, k1, k2, first + a, first + b, b"%d:%d:%d" % (k1, k2, first + a)) for a, b in _spans(hit, 0, length)]
@@ -343,11 +350,14 @@ def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
                     w = xxhash.xxh3_128_digest(piece[i : i + length])
                     if not covered and not whole:
                         out.append((1, k1, k2, first + i, 1, w))
-                    elif (anchor, w) not in windows:
-                        windows[anchor, w] = None
-                        # Of copies that are covered as a whole one speaks for two.
-                        out += [(1, k1, k2, first + i, 0, w)]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT) if out else pa.RecordBatch.from_pylist([], schema=_OUT)
+                    elif w not in windows:
+                        windows.add(w)
+                        out.append((1, k1, k2, first + i, 0, w))
+            if len(out) > 20_000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by anchor and salt; whole groups are gathered up to `chunk` bytes.
@@ -357,14 +367,14 @@ def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
             for anchor, salt, salts, k1, k2, first, whole, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (anchor, salt) != last:
                     if size > chunk:
-                        yield solve(rows)
+                        yield from solve(rows)
                         rows, size = [], 0
                         trim()
                     last = (anchor, salt)
                 rows.append((anchor, salts, k1, k2, first, piece, whole))
                 size += len(piece)
         if rows:
-            yield solve(rows)
+            yield from solve(rows)
         trim()
 
     dealt = pieces.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
