@@ -684,6 +684,16 @@ def test_resample_keeps_samples():
     assert out[::2].tolist() == pcm.tolist() and out[1::2].tolist() == [5, 0, -10, 500, 253, 7]
 
 
+@given(st.lists(st.integers(-32768, 32767), min_size=1, max_size=40), st.sampled_from([2, 3]))
+@settings(max_examples=60, deadline=None)
+def test_pcm_coding_is_lossless(samples, up):
+    clip = np.repeat(np.array(samples, "<i2"), up)
+    clip[1::2] ^= 21845
+    assert audio.uncoded(audio.coded(clip.tobytes(), up), up) == clip.tobytes()
+    wide = audio.resample(np.array(samples, np.int16), np.array([len(samples)]), up)
+    assert not np.frombuffer(audio.coded(wide.tobytes(), up), "<i2")[len(samples) :].any()
+
+
 def test_media_digest(spark, documents, odd, empty):
     from tidemark.llm.common import fresh_path
 

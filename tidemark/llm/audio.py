@@ -3,7 +3,9 @@
 Each table is built from the codec's rule.  ADPCM is serial inside a block, so numpy steps through
 the samples of all blocks at once.  Payloads travel in a RIFF/WAVE container whose data chunk holds
 them unchanged.  Media and resampled PCM are columns of a table in the shared folder; features
-are computed from what is read back.
+are computed from what is read back.  The PCM is stored whole but losslessly coded: the samples at
+the source's instants, then the others as differences from the line between their neighbours, which
+compress well; reading undoes it sample by sample.
 
 Defined results: null texts count as empty; an empty text is 64 zero bytes; equal texts give equal
 values; repeated rows give repeated results; an empty table gives an empty result; extra columns
@@ -28,6 +30,7 @@ UNIT = 64
 RATE, TARGET_RATE = 8000, 16000
 MULAW, ALAW, ADPCM = 7, 6, 17
 STEP_BYTES = 4 << 20
+ZSTD_LEVEL = 6
 
 
 @functools.cache
@@ -147,6 +150,26 @@ def resampled(payloads: list[bytes]) -> list[bytes]:
     return [wide[(e - len(p)) * up : e * up].tobytes() for p, e in zip(payloads, ends.tolist(), strict=True)]
 
 
+def coded(clip: bytes, up: int = TARGET_RATE // RATE) -> bytes:
+    """PCM as its samples at the source's instants, then the rest as differences from interpolation."""
+    grid = np.frombuffer(clip, "<i2").reshape(-1, up)
+    rest = grid[:, 1:] - _between(grid[:, 0], up)
+    return np.concatenate([grid[:, 0], rest.T.reshape(-1)]).astype("<i2").tobytes()
+
+
+def uncoded(data: bytes, up: int = TARGET_RATE // RATE) -> bytes:
+    """The PCM that `coded` was given, whatever it was."""
+    phases = np.frombuffer(data, "<i2").reshape(up, -1)
+    return np.column_stack([phases[0], phases[1:].T + _between(phases[0], up)]).astype("<i2").tobytes()
+
+
+def _between(at: np.ndarray, up: int) -> np.ndarray:
+    """16-bit values on the line from each sample to the next; the last sample is held."""
+    after = np.append(at[1:], at[-1:])
+    a, b = at.astype(np.int32), after.astype(np.int32)
+    return np.stack([(a * (up - k) + b * k) // up for k in range(1, up)], axis=1).astype(np.int16)
+
+
 def _batched(df: DataFrame, size: int, fn, schema: str) -> DataFrame:
     """fn on lists of the columns' values, in batches of about STEP_BYTES of the column `size`."""
 
@@ -162,33 +185,40 @@ def _batched(df: DataFrame, size: int, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, bytes of the text, the media (WAVE, mu-law) and the resampled PCM of each text."""
+def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", code: bool = False) -> DataFrame:
+    """id, bytes of the text, the media (WAVE, mu-law) and the resampled PCM of each text.
+
+    With `code` the PCM is the column pcm_coded instead, losslessly coded for storage.
+    """
+    column = "pcm_coded" if code else "pcm"
 
     def make(ids: list, values: list[str]) -> dict[str, pa.Array]:
         data = [t.encode() for t in values]
         payloads = [padded(d) for d in data]
-        return {id_col: pa.array(ids, pa.int64()), "n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array([wave(p) for p in payloads], pa.binary()), "pcm": pa.array(resampled(payloads), pa.binary())}
+        pcm = [coded(c) for c in resampled(payloads)] if code else resampled(payloads)
+        return {id_col: pa.array(ids, pa.int64()), "n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array([wave(p) for p in payloads], pa.binary()), column: pa.array(pcm, pa.binary())}
 
-    return _batched(texts(docs, id_col, text=text), 1, make, f"{id_col} long, n_bytes long, media binary, pcm binary")
+    return _batched(texts(docs, id_col, text=text), 1, make, f"{id_col} long, n_bytes long, media binary, {column} binary")
 
 
 def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of stored media and PCM, from the bytes that are read back."""
+    """Digests and features of stored media and PCM (plain or coded), from the bytes that are read back."""
+    column = "pcm_coded" if "pcm_coded" in stored.columns else "pcm"
 
     def make(ids: list, n: list[int], media: list[bytes], pcm: list[bytes]) -> dict[str, pa.Array]:
         back = [unwave(m)[2] for m in media]
+        pcm = [uncoded(c) for c in pcm] if column == "pcm_coded" else pcm
         long = lambda x: pa.array(x, pa.int64())
         hashes = lambda x: pa.array([hashlib.sha256(y).hexdigest() for y in x])
         return {id_col: long(ids), "n_bytes": long(n), "payload_bytes": long([len(p) for p in back]), "payload_sha256": hashes(back), "tail_crc32": long([zlib.crc32(p[-64:]) for p in back]), "media_bytes": long([len(m) for m in media]), "media_sha256": hashes(media), "feature": pa.array(features(back, pcm)), "pcm_bytes": long([len(p) for p in pcm])}
 
     schema = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long"
-    return _batched(stored.select(id_col, "n_bytes", "media", "pcm"), 3, make, schema)
+    return _batched(stored.select(id_col, "n_bytes", "media", column), 3, make, schema)
 
 
 def stored_and_read(docs: DataFrame, path: str) -> DataFrame:
-    """Media and PCM as columns of a table, read again."""
-    store(docs).write.option("compression", "zstd").parquet(path)
+    """Media and coded PCM as columns of a table, read again."""
+    store(docs, code=True).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(ZSTD_LEVEL)).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
