@@ -603,13 +603,13 @@ def _a31(spark: SparkSession, d: str) -> DataFrame:
     return topn.run(spark, c, TopNQuery(("ev",), "user_top", begin, end, n=15, desc=True), stored=spark.read.parquet(path))
 
 
-def _streamed(spark: SparkSession, d: str, name: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _streamed(spark: SparkSession, d: str, name: str, made: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
     """The events as a stream of files through `made`, run to its end."""
     root = _root(spark, name)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     points = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").selectExpr("cast(ts AS timestamp) AS ts", "user_id", "event_type", "cast(value AS bigint) AS amount")
-    out = made(points).writeStream.outputMode("append" if name == "sessions" else "complete")
-    out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}" if name == "sessions" else f"{root}/out/batch=0")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = made(points).writeStream.outputMode(mode)
+    out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}" if mode == "append" else f"{root}/out/batch=0")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("batch")
 
 
@@ -626,5 +626,92 @@ def _i4b(spark: SparkSession, d: str) -> DataFrame:
     """Sessions come out when the watermark has passed their end."""
     from .streaming.topn import sessions
 
-    out = _streamed(spark, d, "sessions", lambda p: sessions(p, "ts", "6 hours", ["user_id"], "amount", "1 day"))
+    out = _streamed(spark, d, "sessions", lambda p: sessions(p, "ts", "6 hours", ["user_id"], "amount", "1 day"), "append")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "n")
+
+
+# --- late points, triggers, and what Spark does for indexes -----------------------------------
+#: Points that count when the even users' points come first: the others' are late where their bucket
+#: ended before the latest time seen less two intervals.
+_IN_TIME = "(user_id % 2 = 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM events WHERE user_id % 2 = 0) - INTERVAL 2 DAY)"
+
+
+def _two_batches(spark: SparkSession, d: str):
+    """A ranking's stream that gets the even users' points, then the odd users', in one batch each."""
+    from .streaming.topn import RankingStream
+
+    root = _root(spark, "late")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    job = RankingStream(spark, catalog(d), "ev", "user_top", f"{root}/ranking")
+    for n in range(2):
+        events.where(F.col("user_id") % 2 == n).write.parquet(f"{root}/in/part{n}")
+        raw = spark.readStream.schema(events.schema).parquet(f"{root}/in/part*")
+        points = raw.selectExpr("user_id", "event_type", "nullif(event_type, 'error') AS kind", "value", "cast(value AS bigint) AS amount", "cast(ts AS timestamp) AS ts", "event_id AS version")
+        job.start(points, availableNow=True).awaitTermination()
+    return job
+
+
+@_fn("I6_late_points", f"SELECT strftime(d, '%Y-%m-%d') AS day, event_type, user_id, amount AS value FROM {_lists_sql(where=_IN_TIME)}")
+def _i6(spark: SparkSession, d: str) -> DataFrame:
+    """Points of buckets that the watermark has passed are dropped; open buckets take late ones."""
+    return _two_batches(spark, d).lists().select(F.to_date("bucket").cast("string").alias("day"), "event_type", "user_id", "value")
+
+
+@_fn("I9_changed_buckets", f"SELECT DISTINCT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type FROM events WHERE date_trunc('day', ts) IN (SELECT date_trunc('day', ts) FROM events WHERE user_id % 2 = 1 AND {_IN_TIME}) AND {_IN_TIME}")
+def _i9(spark: SparkSession, d: str) -> DataFrame:
+    """The lists that the second batch ranked anew: those of the buckets that it touched, no others."""
+    job = _two_batches(spark, d)
+    return spark.read.parquet(f"{job.root}/lists").where("version > 0").select(F.to_date("bucket").cast("string").alias("day"), "event_type").distinct()
+
+
+@_fn("I5_watermark", "SELECT strftime(max(ts) - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS mark FROM events WHERE user_id % 2 = 0")
+def _i5(spark: SparkSession, d: str) -> DataFrame:
+    """Where the second batch finds the watermark: the latest time before it less two intervals."""
+    seen = spark.read.parquet(f"{_two_batches(spark, d).root}/seen").where("batch = 0")
+    return seen.select(F.date_format(F.col("ts") - F.expr("INTERVAL 2 DAYS"), "yyyy-MM-dd HH:mm:ss").alias("mark"))
+
+
+@_fn("I7_on_watermark", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def _i7(spark: SparkSession, d: str) -> DataFrame:
+    """Windows come out once, when the watermark has passed their end."""
+    from .streaming.topn import windowed
+
+    out = _streamed(spark, d, "passed", lambda p: windowed(p, "ts", "1 day", ["event_type"], "amount", "1 day"), "append")
+    return out.select(F.to_date("bucket").cast("string").alias("day"), "event_type", "total", "n")
+
+
+@_fn("C1_series_join", f"SELECT user_id, event_type, event_id AS version, value FROM {EVENT_SQL} WHERE user_id < 40 AND event_type <> 'view'")
+def _c1(spark: SparkSession, d: str) -> DataFrame:
+    """Series found by their entity, and the points of those series by series id."""
+    c = catalog(d)
+    r = c.get(Kind.MEASURE, "ev", "event_value")
+    points = dedup.series(dedup.versions(c.frame(spark, r), r.entity, r.timestamp), r.name, r.entity)
+    found = points.where("user_id < 40 AND event_type <> 'view'").select("sid").distinct()
+    return points.join(found, "sid", "left_semi").select("user_id", "event_type", "version", "value")
+
+
+@_fn("P16_skipping", f"SELECT user_id, event_id AS version, value FROM {EVENT_SQL} WHERE {SPAN_SQL} AND event_type = 'purchase' AND user_id < 60")
+def _p16(spark: SparkSession, d: str) -> DataFrame:
+    """Days, row-group statistics and a bloom filter skip what can't match; the rows are the same."""
+    from .catalog import Catalog
+
+    _, r, store = _stored_events(spark, d)
+    stored = Catalog()
+    stored.add(r, store.loader(r))
+    text = f"SELECT user_id, value::field FROM MEASURE event_value IN ev {SPAN} WHERE event_type = 'purchase' AND user_id < 60 LIMIT 4294967295"
+    return Engine(spark, stored).query(text).select("user_id", "version", "value")
+
+
+@_fn("P23_key_entries_matched", f"SELECT o_custkey, o_orderkey, duration FROM {ORDER_SQL} WHERE duration >= 100000 AND (o_orderstatus = 'F' OR o_orderpriority IN ('1-URGENT', '2-HIGH'))")
+def _p23(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the order key whose spans meet the remaining conditions."""
+    from .model import Cond, Or
+    from .operators.predicates import compile_criteria
+
+    c = catalog(d)
+    r = c.get(Kind.TRACE, "shop", "orders")
+    test = compile_criteria(Or(Cond("state", "EQ", "F"), Cond("priority", "IN", ("1-URGENT", "2-HIGH"))), r)
+    return trace.key_scan(c.frame(spark, r).where(test), r, "duration", 100000)
+
+
+_ql("F9_index_order", f"SELECT user_id FROM STREAM events IN log {SPAN} ORDER BY user DESC LIMIT 45", "event_id; user_id", f"SELECT event_id, user_id FROM events WHERE {SPAN_SQL} ORDER BY user_id DESC, event_id LIMIT 45")
