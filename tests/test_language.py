@@ -120,3 +120,17 @@ def test_times():
     for bad in ("soon", "2024-01-01", 5):
         with pytest.raises(RequestError):
             instant(bad)
+
+
+def test_top_needs_a_number(spark):
+    from tidemark.catalog import Catalog, Field, Group, Kind, Resource, Tag, Type
+    from tidemark.plans.engine import Engine
+
+    c = Catalog()
+    c.add_group(Group("g", Kind.MEASURE))
+    rows = "'a' AS id, timestamp '2024-01-01' AS ts, cast(1 AS bigint) AS version, 'x' AS note, cast(2 AS bigint) AS n"
+    c.add(Resource(Kind.MEASURE, "g", "m", (Tag("id"),), (Field("note", Type.STRING), Field("n", Type.INT)), ("id",)), lambda s: s.sql(f"SELECT {rows}"))
+    time = "TIME BETWEEN '2023-01-01T00:00:00Z' AND '2025-01-01T00:00:00Z'"
+    assert Engine(spark, c).query(f"SELECT TOP 1 n DESC, id, n::field FROM MEASURE m IN g {time}").count() == 1
+    with pytest.raises(RequestError, match="INT or FLOAT"):
+        Engine(spark, c).query(f"SELECT TOP 1 note DESC, id, note::field FROM MEASURE m IN g {time}")
