@@ -322,6 +322,32 @@ def test_suffix_dedup_of_repeated_and_plain_texts(spark, options):
     assert {x.doc_id: x.n_removed for x in suffixes.digest(long, **options).collect()} == {1: 1_500_000, 2: 0}
 
 
+def family(n):
+    """Texts that share passages at one place each but differ around them, and copies of whole texts."""
+    r = random.Random(11)
+    prose = lambda k: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(k))
+    core, tails = prose(9), [prose(30) for _ in range(n // 3)]
+    texts = [prose(12) + " " + core + " " + (r.choice(tails) if r.random() < 0.7 else prose(30)) for _ in range(n)]
+    return list(enumerate(texts + texts[:5]))
+
+
+@pytest.mark.parametrize("limits", [{}, {"BATCH": 300, "BUCKET": 500}])
+def test_suffix_dedup_packs_windows_of_hot_anchors(spark, monkeypatch, limits):
+    """An anchor dealt over many tasks: right results, and rows by tasks and buckets instead of one for each window."""
+    for k, v in limits.items():
+        monkeypatch.setattr(suffixes, k, v)
+    made, real = [], suffixes._searched
+    monkeypatch.setattr(suffixes, "_searched", lambda *a: made.append(real(*a)) or made[-1])
+    rows = family(400)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = dict(zip([k for k, _ in rows], brute([t.encode() for _, t in rows], 200), strict=True))
+    got = suffixes.digest(df, hot=20).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == want and len(got) == len(rows)
+    assert sum(w[1] > 0 for w in want.values()) > 100
+    windows = sum(max(0, len(t.encode()) - 199) for _, t in rows)
+    assert limits or made[0].count() < 4 * len(rows) < windows / 10
+
+
 def test_suffix_dedup_shuffles_texts_once(documents):
     out = suffixes.digest(documents)
     out.collect()

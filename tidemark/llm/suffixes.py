@@ -11,7 +11,10 @@
    their successors are sorted directly, the rest induced by bucket scans.  Adjacent common prefixes
    of 200 bytes mark repeated starts.
 4. An anchor with more than HOT different runs, or PLENTY bytes, is dealt over several tasks.  What
-   they find is completed by the hashes of the distinct windows of such anchors, over all tasks.
+   they find is completed by the hashes of the distinct windows of such anchors, over all tasks: a
+   task packs them by bucket of the hash, a row for each bucket and BATCH windows; a bucket tells
+   which occur twice, by their numbers in the batch; these go back to the places of the batch and
+   become ranges there.
 
 Texts are shuffled once, by id and hash: the step that takes runs out of them and the step that
 removes what was found read the same exchange.  "Same bytes" of two runs of one anchor is decided
@@ -26,12 +29,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, trim
@@ -39,6 +44,12 @@ from .common import fresh_path, table, trim
 LENGTH, GRAM = 200, 32
 #: Different runs and bytes of an anchor that may meet in one task, and bytes sorted at once.
 HOT, PLENTY, CHUNK = 4096, 4 << 20, 1 << 19
+#: Windows packed together by a task, and windows of a bucket, about.
+BATCH, BUCKET = 1 << 18, 1 << 20
+#: A window: its hash, and its number in the batch (or NONE, if it is covered already).
+_WINDOW, _NONE = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("at", "<u4")]), (1 << 32) - 1
+#: A piece of a batch: the text, its first start, and the number of its first window.
+_PLACE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("first", "<i8"), ("at", "<u4")])
 #: A run's place in one number: first start, whether it may repeat inside itself, starts after the first.
 _LONGEST = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -267,15 +278,17 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _repeating(rows: DataFrame, length: int, hot: int, plenty: int) -> DataFrame:
-    """anchor, same: how often these bytes occur (n), which copy stands for them (rep), and over how
-    many tasks the anchor's bytes are dealt (0: none is needed).  Anchors that can't repeat are out."""
+    """anchor, same: how often these bytes occur (n), which copy stands for them (rep), over how many
+    tasks the anchor's bytes are dealt (0: none is needed), and, if over several, how many windows
+    these bytes have.  Anchors that can't repeat are out."""
     kinds = rows.groupBy("anchor", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k1", "k2", "at")).alias("rep"), F.max(F.col("at").bitwiseAND(2 * _LONGEST - 1)).alias("size"))
     several = F.col("size") >= _LONGEST
     whole = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("size").bitwiseAND(_LONGEST - 1) + length).alias("bytes"))
     salts = F.greatest(F.ceil(F.col("kinds") / hot), F.ceil(F.col("bytes") / plenty))
     needed = (F.col("kinds") > 1) | several & (F.col("n") == 1)
     both = kinds.join(whole, "anchor").where((F.col("all") > 1) | several)
-    return both.select("anchor", "same", "n", "rep", F.when(needed, salts).otherwise(0).cast("int").alias("salts"))
+    windows = F.when(needed & (salts > 1), F.col("size").bitwiseAND(_LONGEST - 1) + 1)
+    return both.select("anchor", "same", "n", "rep", F.when(needed, salts).otherwise(0).cast("int").alias("salts"), windows.alias("windows"))
 
 
 def _per_text(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -319,18 +332,57 @@ def _pieces(both: DataFrame, length: int) -> DataFrame:
     return both.mapInArrow(run, "anchor long, salt long, salts long, k1 long, k2 long, first long, whole boolean, piece binary")
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("window", pa.binary())])
+#: kind 0: a covered range of a text.  For batches of windows k1 is the batch: kind 1, windows of a
+#: bucket; kind 2, numbers of windows that occur twice; kind 3, the places of the batch.  Rows meet by key.
+_OUT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
+_OUT_SQL = "kind int, key long, k1 long, k2 long, a long, b long, data binary"
 
 
-def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
-    """kind 0: covered ranges; kind 1: for anchors dealt over tasks, distinct windows (b: 1 if not
-    covered yet)."""
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _packed(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+
+
+class _Batch:
+    """Windows of a task on their way to the buckets."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.done = buckets, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.numbers, self.places, self.size = bytearray(), array("I"), [], 0
+
+    def add(self, window: bytes, number: int) -> None:
+        self.hashes += window
+        self.numbers.append(number)
 
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+    def flush(self) -> list[tuple]:
+        if not len(self.numbers):
+            return []
+        batch = TaskContext.get().partitionId() << 32 | self.done
+        own = np.empty(len(self.numbers), _WINDOW)
+        own["hi"], own["lo"] = np.frombuffer(bytes(self.hashes), "<u8").reshape(-1, 2).T
+        own["at"] = np.frombuffer(self.numbers, np.uint32)
+        bucket = (own["hi"] % np.uint64(self.buckets)).astype(np.int64)
+        out = [(1, int(bucket[x[0]]), batch, 0, 0, 0, own[x].tobytes()) for x in _groups(bucket)]
+        if self.places:
+            out.append((3, batch, batch, 0, 0, 0, np.array(self.places, _PLACE).tobytes()))
+        self.done += 1
+        self.clear()
+        return out
+
+
+def _groups(x: np.ndarray) -> list[np.ndarray]:
+    """Indices of equal values, each group in ascending order."""
+    order = np.argsort(x, kind="stable")
+    return np.split(order, np.flatnonzero(x[order[1:]] != x[order[:-1]]) + 1) if len(x) else []
+
+
+def _searched(pieces: DataFrame, length: int, chunk: int, buckets: int) -> DataFrame:
+    """Covered ranges; for anchors dealt over tasks, packed windows and the places they are from."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def solve(rows: list[tuple], batch: _Batch) -> Iterator[pa.RecordBatch]:
         # Bytes that stand for several copies are covered already; the others occur once.
         distinct = {r[5]: k for k, r in enumerate(rows)}
         keys = list(distinct)
@@ -344,41 +396,116 @@ def _searched(pieces: DataFrame, length: int, chunk: int) -> DataFrame:
                 last = anchor
             hit = hits[piece]
             if not whole:
-                out += [(0, k1, k2, first + a, first + b, b"%d:%d:%d" % (k1, k2, first + a)) for a, b in _spans(hit, 0, length)]
+                out += [(0, k1 ^ k2, k1, k2, first + a, first + b, None) for a, b in _spans(hit, 0, length)]
             if salts > 1:
-                for i, covered in enumerate(hit.tolist()):
-                    w = xxhash.xxh3_128_digest(piece[i : i + length])
+                if not whole:
+                    batch.places.append((k1, k2, first, batch.size))
+                for i, covered in enumerate(hit.tolist(), batch.size):
+                    w = xxhash.xxh3_128_digest(piece[i - batch.size : i - batch.size + length])
                     if not covered and not whole:
-                        out.append((1, k1, k2, first + i, 1, w))
+                        batch.add(w, i)
                     elif w not in windows:
                         windows.add(w)
-                        out.append((1, k1, k2, first + i, 0, w))
+                        batch.add(w, _NONE)
+                batch.size += len(hit)
+                if batch.size > BATCH:
+                    out += batch.flush()
             if len(out) > 20_000:
-                yield packed(out)
+                yield _packed(out)
                 out = []
         if out:
-            yield packed(out)
+            yield _packed(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by anchor and salt; whole groups are gathered up to `chunk` bytes.
         rows: list[tuple] = []
+        batch = _Batch(buckets)
         last, size = None, 0
         for b in batches:
             for anchor, salt, salts, k1, k2, first, whole, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (anchor, salt) != last:
                     if size > chunk:
-                        yield from solve(rows)
+                        yield from solve(rows, batch)
                         rows, size = [], 0
                         trim()
                     last = (anchor, salt)
                 rows.append((anchor, salts, k1, k2, first, piece, whole))
                 size += len(piece)
         if rows:
-            yield from solve(rows)
+            yield from solve(rows, batch)
+        if rest := batch.flush():
+            yield _packed(rest)
         trim()
 
     dealt = pieces.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.mapInArrow(run, "kind int, k1 long, k2 long, a long, b long, window binary")
+    return dealt.mapInArrow(run, _OUT_SQL)
+
+
+def _twice(own: list[tuple[int, bytes]]) -> list[tuple]:
+    """Of the windows of one bucket, given with their batches, the numbers of those that occur twice."""
+    x = np.concatenate([np.frombuffer(data, _WINDOW) for _, data in own])
+    batch = np.repeat(np.array([k for k, _ in own], np.int64), [len(data) // _WINDOW.itemsize for _, data in own])
+    order = np.lexsort((x["lo"], x["hi"]))
+    s = x[order]
+    same = (s["hi"][1:] == s["hi"][:-1]) & (s["lo"][1:] == s["lo"][:-1])
+    found = order[np.append(same, False) | np.append(False, same)]
+    found = found[x["at"][found] != _NONE]
+    return [(2, int(batch[found[g[0]]]), int(batch[found[g[0]]]), 0, 0, 0, x["at"][found[g]].tobytes()) for g in _groups(batch[found])]
+
+
+def _ranges(numbers: list[bytes], places: bytes, length: int) -> list[tuple]:
+    """The windows of a batch with these numbers as covered ranges of their texts."""
+    at = np.sort(np.frombuffer(b"".join(numbers), "<u4")).astype(np.int64)
+    p = np.frombuffer(places, _PLACE)
+    begins = p["at"].astype(np.int64)
+    piece = np.searchsorted(begins, at, "right") - 1
+    start = at - begins[piece] + p["first"][piece]
+    first = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(piece) > 0)))
+    last = np.append(first[1:], len(at)) - 1
+    k1, k2 = p["k1"][piece[first]], p["k2"][piece[first]]
+    cols = (k1 ^ k2, k1, k2, start[first], start[last] + length)
+    return [(0, *row, None) for row in zip(*(c.tolist() for c in cols), strict=True)]
+
+
+def _completed(out: DataFrame, length: int) -> DataFrame:
+    """Covered ranges, with those that windows of other tasks tell."""
+    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[int, bytes]] = []
+        last = None
+        for b in batches:
+            windows = np.asarray(b.column(0)) == 1
+            if not windows.all():
+                yield b.filter(pa.array(~windows))
+            for key, batch, data in zip(*(b.filter(pa.array(windows)).column(i).to_pylist() for i in (1, 2, 6)), strict=True):
+                if key != last and own:
+                    if found := _twice(own):
+                        yield _packed(found)
+                    own = []
+                last = key
+                own.append((batch, data))
+        if own and (found := _twice(own)):
+            yield _packed(found)
+        trim()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The numbers of a batch come before its places.
+        numbers: list[bytes] = []
+        for b in batches:
+            ranges = np.asarray(b.column(0)) == 0
+            if ranges.any():
+                yield b.filter(pa.array(ranges))
+            for kind, data in zip(*(b.filter(pa.array(~ranges)).column(i).to_pylist() for i in (0, 6)), strict=True):
+                if kind == 2:
+                    numbers.append(data)
+                elif numbers:
+                    yield _packed(_ranges(numbers, data, length))
+                    numbers = []
+
+    for step in (count, place):
+        out = out.repartition(parts, "key").sortWithinPartitions("key", "kind").mapInArrow(step, _OUT_SQL)
+    return out
 
 
 def covered(keyed: DataFrame, *more: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, plenty: int = PLENTY, chunk: int = CHUNK) -> DataFrame:
@@ -392,14 +519,12 @@ def covered(keyed: DataFrame, *more: str, length: int = LENGTH, gram: int = GRAM
     counts = spark.read.parquet(path)
     # `more` is carried along, unused, so that both readers of the texts share one exchange.
     both = keyed.join(_per_text(rows, counts), ["k1", "k2"], "left").select("k1", "k2", "text", "runs", *more)
-    out = _searched(_pieces(both, length), length, chunk)
-    if counts.where("salts > 1").limit(1).count():
-        # The windows of anchors dealt over several tasks are counted over all of them.  Ranges have a
-        # key of their own there.
-        here = F.count(F.lit(1)).over(Window.partitionBy("window"))
-        out = out.withColumn("n", here).where("kind = 0 OR (b = 1 AND n > 1)").withColumn("b", F.expr(f"CASE WHEN kind = 0 THEN b ELSE a + {length} END"))
-    else:
-        out = out.where("kind = 0")
+    # Only the windows of anchors dealt over several tasks are counted over all of them.
+    windows = counts.agg(F.sum("windows")).first()[0] or 0
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * -(-windows // BUCKET)
+    out = _searched(_pieces(both, length), length, chunk, buckets)
+    if windows:
+        out = _completed(out, length)
     spans = out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return both.join(spans, ["k1", "k2"], "left").select(*more, "text", "runs", "spans")
 
