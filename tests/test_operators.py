@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,51 @@ def test_sampling_fails_open(spark):
     assert sampling.sampled(spans, "t", [sampling.Sampler(rate=1.0), lambda rows: len(rows) > 99]).count() == 0
 
 
+def _in_small_batches(spark, run):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        return run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_plugins_take_many_traces_at_once(spark):
+    """One pass for all functions of a chain, and no pandas group for each trace."""
+    spans = spark.sql("SELECT id % 7 AS t, id FROM range(60)")
+    out = sampling.chain(spans, "t", [sampling.Sampler(rate=1.0), lambda rows: len(rows) > 8, lambda rows: rows["id"][0] is not None and rows["t"].max() < 5])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 1
+    assert {x.t for x in _in_small_batches(spark, out.where("keep AND failures = 0").collect)} == {0, 1, 2, 3}
+
+
+def test_chain_decides_on_spans_without_trace_id(spark):
+    spans = spark.sql("SELECT CASE WHEN id < 5 THEN id % 2 END AS t, id FROM range(9)")
+    out = sampling.chain(spans, "t", [sampling.Sampler(rate=1.0), lambda rows: len(rows) < 4])
+    assert {x.t: x.keep for x in _in_small_batches(spark, out.collect)} == {0: True, 1: True, None: False}
+
+
+def test_plugins_see_each_trace_as_a_grouped_function_does(spark):
+    """Values, pandas types and index of a trace do not depend on traces beside it or on batches."""
+    odd = "CASE WHEN t IN (1, 4) AND id % 3 = 0 THEN NULL ELSE {} END"
+    spans = spark.sql("SELECT id, CASE WHEN id % 2 = 0 THEN 8 WHEN id % 9 = 1 THEN NULL ELSE id % 7 END AS t, timestamp_seconds(id) AS ts FROM range(90)")
+    flat = spans.selectExpr("t", "id", f"{odd.format('id + 9007199254740993')} AS big", "CASE WHEN t = 2 THEN NULL ELSE id % 2 = 0 END AS flag", f"{odd.format('double(id)')} AS real", f"{odd.format('string(id)')} AS word", f"date_add({odd.format('date(ts)')}, int(id)) AS day", "ts", "CAST(id AS DECIMAL(20, 2)) AS dec")
+    nested = flat.selectExpr("t", "id", "array(big, id) AS list", "named_struct('x', big, 'y', flag) AS pair", "map('k', id) AS table", "array(word) AS words")
+
+    def told(rows):
+        rows = rows.sort_values("id")
+        return f"{list(rows.columns)} {[str(x) for x in rows.dtypes]} {sorted(rows.index)} {[[(type(v).__name__, str(getattr(v, 'dtype', '')), repr(v)) for v in rows.iloc[:, i]] for i in range(rows.shape[1])]}"
+
+    for df in (flat, nested):
+        seen = df.groupBy("t").applyInPandas(lambda rows: pd.DataFrame({"told": [told(rows)]}), "told string")
+        want = {x.told for x in seen.collect()}
+        assert len(want) == 9
+        # Neither a change of the frame nor another function's is seen beside it.
+        spoil = lambda rows: rows.insert(0, "new", 1) or rows.__setitem__("id", -1) or True
+        for run in (lambda f: f(), lambda f: _in_small_batches(spark, f)):
+            got = run(sampling.chain(df, "t", [spoil, lambda rows: told(rows) in want]).collect)
+            assert len(got) == 9 and all(x.keep and not x.failures for x in got)
+
+
 def test_streaming_late_points_and_expiry(spark, tmp_path):
     """Points of buckets that ended before the watermark are dropped, and the state of such buckets."""
     from tidemark.catalog import Ranking

@@ -32,6 +32,16 @@ def test_no_limit_where_the_sql_has_none(name, spark, sf):
     assert "Limit" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_chain_query_drops_orders_without_a_customer(spark, sf, tmp_path):
+    import duckdb
+
+    spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "nullif(o_custkey % 50, 7) AS o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert len(want := con.sql(ORACLE_SQL["U3_chain"]).df()) > 0
+    assert rows(QUERIES["U3_chain"](spark, str(tmp_path)).toPandas()) == rows(want)
+
+
 def test_without_the_training_data_package(tmp_path):
     """The rest of a copy without the two llm folders and the pipeline imports and lists its queries."""
     import os

@@ -6,12 +6,16 @@ columns over one aggregate per trace; a user's own function runs on the trace's
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -67,32 +71,104 @@ def chain(spans: DataFrame, trace_id: str, links: Sequence[Sampler | Callable[[p
     """(trace id, keep, failures) of several links.  A user's function sees the named columns, or all;
     one that raises keeps the trace and counts as a failure."""
     columns = [c for c in (spans.columns if columns is None else columns) if c != trace_id]
-    out = None
-    for i, link in enumerate(links):
-        if isinstance(link, Sampler):
-            one = decisions(spans, trace_id, link).withColumn("failed", F.lit(0))
+    parts = [decisions(spans, trace_id, s).withColumn("failures", F.lit(0)) for s in links if isinstance(s, Sampler)]
+    if own := [f for f in links if not isinstance(f, Sampler)]:
+        parts.append(_plugins(spans.select(*[F.col(f"`{c}`") for c in (trace_id, *columns)]), trace_id, own))
+    if len(parts) == 1:
+        return parts[0].withColumn("failures", F.col("failures").cast("long"))
+    return reduce(DataFrame.union, parts).groupBy(trace_id).agg(F.bool_and("keep").alias("keep"), F.sum("failures").alias("failures"))
+
+
+def _plugins(spans: DataFrame, trace_id: str, links: Sequence[Callable[[pd.DataFrame], bool]]) -> DataFrame:
+    """(trace id, keep, failures) of users' functions.
+
+    Spans come by trace, the first of each marked, in batches of many traces: a pandas group for each
+    trace costs much more than most decisions.  Only the open trace is carried to the next batch.
+    """
+    key = F.col(f"`{trace_id}`")
+    marked = spans.select("*", (F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1).alias("_first"))
+    schema = T.StructType([T.StructField(trace_id, spans.schema[trace_id].dataType), T.StructField("keep", T.BooleanType()), T.StructField("failures", T.IntegerType())])
+    return marked.mapInArrow(_decider(links, spans.columns.index(trace_id), spans.sparkSession.conf.get("spark.sql.session.timeZone")), schema)
+
+
+def _decider(links: Sequence[Callable[[pd.DataFrame], bool]], at: int, zone: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Decisions on marked spans whose column `at` is the trace id.  All is inside, so that it goes to
+    workers by value."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole traces; one that may span batches comes alone, in one piece."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            if not len(begins):
+                held.append(batch)
+                continue
+            if held:
+                yield pa.Table.from_batches([*held, batch.slice(0, begins[0])]).combine_chunks()
+            if begins[0] < begins[-1]:
+                yield pa.Table.from_batches([batch.slice(begins[0], begins[-1] - begins[0])])
+            held = [batch.slice(begins[-1])]
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def settled(c: pa.ChunkedArray | pa.Array) -> bool:
+        """Whether each value's pandas form is the same beside any others: nulls turn integers and
+        booleans, also nested ones, into other types."""
+        if isinstance(c, pa.ChunkedArray):
+            return all(settled(x) for x in c.chunks)
+        if pa.types.is_map(c.type):
+            return settled(c.keys) and settled(c.items)
+        if pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+            return settled(c.flatten())
+        if pa.types.is_struct(c.type):
+            return all(settled(x) for x in c.flatten())
+        return c.null_count == 0 or not (pa.types.is_integer(c.type) or pa.types.is_boolean(c.type))
+
+    def alike(spans: pa.Table, begins: np.ndarray) -> Iterator[np.ndarray]:
+        """Numbers of the traces that have nulls in the same columns, where that matters: together they
+        give pandas the types that each alone does."""
+        loose = [c for c in spans.columns if not settled(c)]
+        if any(pa.types.is_nested(c.type) for c in loose):
+            yield from np.arange(len(begins))[:, None]
+        elif loose:
+            holes = np.stack([np.logical_or.reduceat(c.is_null().to_numpy(), begins) for c in loose])
+            kinds = np.unique(holes, axis=1, return_inverse=True)[1].ravel()
+            yield from (np.flatnonzero(kinds == k) for k in range(kinds.max() + 1))
         else:
-            one = _plugin(spans.select(trace_id, *columns), trace_id, link)
-        one = one.withColumnRenamed("keep", f"_keep{i}").withColumnRenamed("failed", f"_failed{i}")
-        out = one if out is None else out.join(one, trace_id, "left")
-    keep = F.lit(True)
-    for i in range(len(links)):
-        keep = keep & F.coalesce(F.col(f"_keep{i}"), F.lit(True))
-    failures = sum((F.coalesce(F.col(f"_failed{i}"), F.lit(0)) for i in range(len(links))), F.lit(0))
-    return out.select(trace_id, keep.alias("keep"), failures.cast("long").alias("failures"))
-
-
-def _plugin(spans: DataFrame, trace_id: str, decide: Callable[[pd.DataFrame], bool]) -> DataFrame:
-    kind = spans.schema[trace_id].dataType.simpleString()
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        try:
-            keep, failed = bool(decide(rows)), 0
-        except Exception:  # noqa: BLE001  a failing link is bypassed, and counted
-            keep, failed = True, 1
-        return pd.DataFrame({trace_id: [key[0]], "keep": [keep], "failed": [failed]})
-
-    return spans.groupBy(trace_id).applyInPandas(one, f"`{trace_id}` {kind}, keep boolean, failed int")
+            yield np.arange(len(begins))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import _create_converter_to_pandas, from_arrow_type
+
+        forms: dict[pa.DataType, Callable[[pd.Series], pd.Series]] = {}
+
+        def series(c: pa.ChunkedArray, name: str) -> pd.Series:
+            """As a grouped pandas function gets it."""
+            if c.type not in forms:
+                forms[c.type] = _create_converter_to_pandas(from_arrow_type(c.type, prefer_timestamp_ntz=True), timezone=zone, struct_in_pandas="dict")
+            return forms[c.type](c.to_pandas(date_as_object=True, coerce_temporal_nanoseconds=True)).rename(name)
+
+        for table in whole(batches):
+            spans = table.select(range(table.num_columns - 1))
+            begins = np.flatnonzero(table.column(table.num_columns - 1).to_numpy())
+            sizes = np.diff(np.append(begins, table.num_rows))
+            keep, failures = np.ones(len(begins), dtype=bool), np.zeros(len(begins), dtype=np.int32)
+            for traces in alike(spans, begins):
+                if len(traces) == 1:
+                    some = spans.slice(begins[traces[0]], sizes[traces[0]])
+                else:
+                    some = spans if len(traces) == len(begins) else spans.filter(pa.array(np.repeat(np.isin(np.arange(len(begins)), traces), sizes)))
+                rows = pd.concat([series(c, name) for c, name in zip(some.columns, some.column_names)], axis=1)
+                ends = np.cumsum(sizes[traces])
+                for i, a, b in zip(traces.tolist(), (ends - sizes[traces]).tolist(), ends.tolist()):
+                    for decide in links:
+                        try:
+                            keep[i] &= bool(decide(rows.iloc[a:b].reset_index(drop=True)))
+                        except Exception:  # noqa: BLE001  a failing link is bypassed, and counted
+                            failures[i] += 1
+            yield pa.RecordBatch.from_arrays([spans.column(at).take(pa.array(begins)).combine_chunks(), pa.array(keep), pa.array(failures)], names=["id", "keep", "failures"])
+
+    return run
 
 
 def sampled(spans: DataFrame, trace_id: str, links: Sequence, columns: Sequence[str] | None = None) -> DataFrame:

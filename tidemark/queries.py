@@ -240,7 +240,8 @@ def _u4b(spark: SparkSession, d: str) -> DataFrame:
 @_fn("U3_chain", f"SELECT o_custkey FROM {SAMPLER_SQL} JOIN orders USING (o_custkey) GROUP BY 1 HAVING count(*) >= 5")
 def _u3(spark: SparkSession, d: str) -> DataFrame:
     links = [_sampler(), lambda spans: len(spans) >= 5]
-    return sampling.chain(_order_spans(spark, d), "o_custkey", links).where("keep").select("o_custkey")
+    # As in SQL, whose join drops orders without a customer.
+    return sampling.chain(_order_spans(spark, d), "o_custkey", links).where("keep AND o_custkey IS NOT NULL").select("o_custkey")
 
 
 @_fn("C6_dropped_traces", f"SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM {SAMPLER_SQL})")
