@@ -42,6 +42,25 @@ def test_chain_query_drops_orders_without_a_customer(spark, sf, tmp_path):
     assert rows(QUERIES["U3_chain"](spark, str(tmp_path)).toPandas()) == rows(want)
 
 
+def test_plugin_query_decides_on_batches_of_traces(spark, sf, tmp_path):
+    """Also with orders without a customer or a price, and with customers whose orders span batches."""
+    import duckdb
+
+    spark.read.parquet(f"{sf}/orders.parquet").selectExpr("nullif(o_custkey % 90, 7) AS o_custkey", "CASE WHEN o_custkey % 90 <> 8 AND o_orderkey % 11 > 0 THEN o_totalprice END AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {x[0] for x in con.sql(ORACLE_SQL["U2_plugin"]).fetchall()}
+    got = QUERIES["U2_plugin"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = [x.o_custkey for x in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found) == want and len(found) == len(want) and 0 < len(want) < 90
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_without_the_training_data_package(tmp_path):
     """The rest of a copy without the two llm folders and the pipeline imports and lists its queries."""
     import os

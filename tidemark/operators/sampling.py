@@ -86,7 +86,10 @@ def _plugins(spans: DataFrame, trace_id: str, links: Sequence[Callable[[pd.DataF
     trace costs much more than most decisions.  Only the open trace is carried to the next batch.
     """
     key = F.col(f"`{trace_id}`")
-    marked = spans.select("*", (F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1).alias("_first"))
+    # By number: partitions put together by their bytes, as adaptive execution does, are few for narrow
+    # spans, whose functions take time.
+    dealt = spans.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    marked = dealt.select("*", (F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1).alias("_first"))
     schema = T.StructType([T.StructField(trace_id, spans.schema[trace_id].dataType), T.StructField("keep", T.BooleanType()), T.StructField("failures", T.IntegerType())])
     return marked.mapInArrow(_decider(links, spans.columns.index(trace_id), spans.sparkSession.conf.get("spark.sql.session.timeZone")), schema)
 
